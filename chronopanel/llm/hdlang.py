@@ -75,3 +75,8 @@ def train(counts: dict[str, np.ndarray], seed: int = 6) -> Profiles:
     proto /= np.maximum(np.linalg.norm(proto, axis=1, keepdims=True), 1e-9)
     table = np.concatenate([block(a) @ proto.T for a in range(SIZE)]) if langs else np.zeros((CELLS, 0), np.float32)
     return Profiles(langs, table.astype(np.float32))
+
+    def nearest(self, text: str) -> str | None:
+        """Language with the greatest cosine, for which the text's norm doesn't matter; null for a text without letters."""
+        at = cells(text)
+        return self.langs[int(self.table[at].sum(axis=0).argmax())] if len(at) and self.langs else None

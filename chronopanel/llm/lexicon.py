@@ -64,7 +64,7 @@ PROMPTS = {
     "Copia d’archivio;Archiefkopie;barra dell’archivio;archiefbalk;Capture no",
     "change": "zuletzt geändert am;last changed on;modifiée le;modificada el;modificata il;gewijzigd op;letzte Änderung;last modified",
     "credit": "Bildnachweis;Photo credit;Crédit photo;Foto archief;Foto archivo;Foto archivio;Fotos archivo;Beitrag von der Redaktion;Story by the;"
-    "Texto redacción;Tekst redactie;Texte rédaction;Testo redazione;Article de la rédaction;Articolo della redazione;Un article de la;Un artículo de la;"
+    "Texto redacción;Tekst redactie;Texte rédaction;Rédaction équipe;Testo redazione;Article de la rédaction;Articolo della redazione;Un article de la;Un artículo de la;"
     "Artikel van de redactie;Foto Archiv;Archivo fotográfico;Crediti foto;Crédito de la foto;Par la rédaction;Por la redacción;A cura della redazione",
 }
 # Short lines that are a prompt only when they fill the whole line.
@@ -94,7 +94,7 @@ SCRIPT = (
 # Error, maintenance and parking notices.
 NOTICE = (
     "Seite nicht gefunden;angeforderte Seite existiert;Seite existiert leider nicht;Inhalt konnte nicht geladen werden;Sitzung ist abgelaufen;"
-    "etwas schiefgelaufen;Zugriff verweigert;Wegen Wartungsarbeiten;Interner Fehler;Domain wurde geparkt;steht zum Verkauf;Hier entsteht in Kürze;neue Internetpräsenz;"
+    "etwas schiefgelaufen;Hoppla hier ist etwas schiefgelaufen;Oops something went wrong;Zugriff verweigert;Wegen Wartungsarbeiten;Interner Fehler;Domain wurde geparkt;steht zum Verkauf;Hier entsteht in Kürze;neue Internetpräsenz;"
     "Page not found;page you requested does not exist;requested content could not be loaded;session has expired;something went wrong;Access denied;"
     "down for maintenance;internal error occurred;domain is parked;web site is coming soon;website is coming soon;page non trouvée;page introuvable;page demandée n’existe plus;"
     "contenu demandé n’a pas pu;session a expiré;Une erreur est survenue;erreur interne;Accès refusé;Site en maintenance;nom de domaine est à vendre;Un nouveau site;Notre nouveau site;Nuestro nuevo sitio;Nuestra nueva web;Il nostro nuovo sito;Onze nieuwe website;Onze nieuwe site;"

@@ -37,7 +37,9 @@ _BULLET = re.compile(r"^(?:[-*•–·]|\d{1,3}[.)])\s\S")
 _CODE_END = re.compile(r"\b[A-Z]{2}[ /-]?\d{2,5}$")
 _CELL = re.compile(r"^(?:-|\d[\d.,]*\s?\S{0,4})$")
 _UNIT = re.compile(r"(?:^| )(?:kg|kW|Nm|mm|cm|bar|l/h|°C|€|%|m²|V|A|\S?C|\S{1,3})$")
-_EXTENSION = re.compile(r"^[^\d.]{5,60},? [^\d.]{3,14} \d[\d.]*$")
+_EXTENSION = re.compile(r"^[^\d.:]{5,60}, [^\d.,]{3,14} \d[\d.]*$")
+_ODD_SEP = re.compile(r"\s[^\x00-\x7f\w]?[^\x00-\x7f]{1,3}\s")
+_CREDIT = re.compile(r"^[^\W\d]\S*(?: \S+){0,2} ?: [^,.]{3,60}$")
 _PLACE_ITEM = re.compile(r"^[^\s,][^,.!?]{2,40}, \S[^,.!?]{4,50}$")
 _SLOGAN = re.compile(r"^[^\W\d_][^\s.:–!?,]*(?: [^\s.:–!?,]+){1,2}(?:\.|:| –) [^\W\d_][^\s.:–!?,]*(?: [^\s.:–!?,]+){1,2}\.?$")
 _CODELIKE = re.compile(r"(?:function\s*\(|\bvar \w+\s*=|;\}|\)\s*\{|=>|\breturn\b.*;|</?\w+[^>]*>|\w+\(\w*\);)")
@@ -51,7 +53,7 @@ CHROME = frozenset(("menu", "trail", "teaser", "dated", "script", "slogan", "foo
 WEIGHT = {
     "menu": 6.0, "trail": 8.0, "teaser": 6.0, "dated": 5.5, "script": 6.0, "slogan": 4.0, "footer": 9.0, "phone": 8.0, "address": 7.0,
     "cookie": 7.0, "share": 7.0, "letter": 7.0, "print": 7.0, "site": 7.0, "toolbar": 8.0, "change": 8.0, "credit": 7.0,
-    "prose": -6.0, "head": -1.5, "list": -5.0, "table": -6.0, "junk": -5.0, "notice": -6.0, "filler": -6.0,
+    "prose": -6.0, "head": -2.1, "list": -5.0, "table": -6.0, "junk": -5.0, "notice": -6.0, "filler": -6.0,
 }
 #: Added for a line that stands on several addresses of its site, by class of line. Lists and tables repeat for their own reasons.
 REPEATED = {"prose": 12.0, "head": 6.0, "slogan": 4.0, "list": 1.0, "table": 0.0, "junk": 0.0, "notice": 0.0, "filler": 0.0}
@@ -104,6 +106,9 @@ def _table(raw: str) -> bool:
             cells = [c.strip() for c in raw.strip().split(sep) if c.strip()]
             if len(cells) >= 3 and (sum(bool(_CELL.match(c)) for c in cells[1:]) >= 0.6 * (len(cells) - 1) or all(_UNIT.search(c) and len(c) < 40 for c in cells[1:]) and len(cells[0]) < 20):
                 return True
+    cells = [c for c in _ODD_SEP.split(raw.strip()) if c]
+    if len(cells) >= 3 and sum(bool(_CELL.match(c)) for c in cells[1:]) >= 0.6 * (len(cells) - 1):
+        return True
     words = raw.split()
     return len(words) >= 5 and sum(w == "-" or w[0].isdigit() for w in words) >= 0.4 * len(words) and raw.strip()[-1:] not in ".!?"
 
@@ -115,7 +120,7 @@ def is_lorem(words: list[str]) -> bool:
     low = [w.lower() for w in words]
     hit = 0
     for w in low:
-        if w in lx.MASH or w[:3] == "jkl" or len(w) >= 5 and w[:5] in lx.LOREM:
+        if w in lx.MASH or w[:3] == "jkl" or len(w) > 1 and not w.strip("x") or len(w) >= 5 and w[:5] in lx.LOREM:
             hit += 1
     return hit >= 0.6 * len(low)
 
@@ -201,6 +206,8 @@ def _short(raw: str, text: str) -> Line:
         return line("dated")
     if " · " in text and _LEGAL.search(text):
         return line("slogan")
+    if ":" in text and _LEGAL.search(text) and _CREDIT.match(text):
+        return line("credit")
     if sum(c.isalnum() or c.isspace() for c in text) < 0.7 * n or _CODELIKE.search(text):
         return line("junk")
     if nw >= 3 and sum(1 for w in words if _MIXED.match(w)) >= 0.4 * nw:

@@ -14,11 +14,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from . import pagelines as pl
 
 KEY = ["firm_id", "relative_timepoint", "original_archived_url"]
-#: Different addresses of one site on which a line must stand to count as repeated.
-REPEATED_ON = 3
+#: Different texts of one site that must hold a line for it to count as repeated: for lines of ``LONG`` characters or more, and for others.
+#: Copies of a page under two addresses are one text, and whole sentences don't recur in different bodies of a site by chance.
+REPEATED_LONG, REPEATED_SHORT, LONG = 2, 8, 40
 #: Shortest line for which repetition is looked at; shorter ones are known by their words.
 LEAST_CHARS = 12
 _NEEDED = [*KEY, "registrable_domain", "document_title", "h1_text", "extracted_text"]
@@ -26,7 +28,8 @@ _NEEDED = [*KEY, "registrable_domain", "document_title", "h1_text", "extracted_t
 
 def tidy_line(line: Column) -> Column:
     """No-break spaces and tabs become spaces, runs of spaces one space, ends are trimmed."""
-    return F.trim(F.regexp_replace(F.translate(line, "\t\u00a0", "  "), " {2,}", " "))
+    plain = F.translate(line, "\t\u00a0", "  ")
+    return F.trim(F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " {2,}", " ")).otherwise(plain))
 
 
 def page_id() -> Column:
@@ -44,17 +47,20 @@ def with_text(pages: DataFrame) -> DataFrame:
     return out.where(F.trim(F.translate("extracted_text", "\n\t\u00a0", "")) != "")
 
 
-def repeated_lines(pages: DataFrame, on: int = REPEATED_ON) -> DataFrame:
-    """``pid, repeated``: numbers (from 1) of the lines of a page that stand on ``on`` or more addresses of its domain.
+def repeated_lines(pages: DataFrame) -> DataFrame:
+    """``pid, repeated``: numbers (from 1) of the lines of a page that stand in several texts of its domain.
 
-    Lines travel as hashes. Counting distinct addresses aggregates before its shuffle; the join back is on (domain, line), where adaptive
+    Lines travel as hashes. Counting distinct texts aggregates before its shuffle; the join back is on (domain, line), where adaptive
     execution splits what a hot line gathers.
     """
-    line = F.posexplode(F.transform(F.split("extracted_text", "\n"), lambda x: F.when(F.length(x) >= LEAST_CHARS, F.xxhash64(tidy_line(x)))))
+    tidy = F.transform(F.split("extracted_text", "\n"), tidy_line)
+    line = F.posexplode(F.transform(tidy, lambda x: F.when(F.length(x) >= LEAST_CHARS, F.struct(F.xxhash64(x).alias("h"), (F.length(x) >= LONG).alias("long")))))
     narrow = pages.where(F.col("registrable_domain").isNotNull()).select(
-        page_id().alias("pid"), F.xxhash64("registrable_domain").alias("d"), F.xxhash64("original_archived_url").alias("u"), line.alias("no", "h")
-    ).where(F.col("h").isNotNull())
-    often = narrow.groupBy("d", "h").agg(F.count_distinct("u").alias("n")).where(F.col("n") >= on).select("d", "h")
+        page_id().alias("pid"), F.xxhash64("registrable_domain").alias("d"), F.xxhash64("extracted_text").alias("u"), line.alias("no", "x")
+    ).where(F.col("x").isNotNull()).select("pid", "d", "u", "no", "x.h", "x.long")
+    narrow = materialise(narrow, "page-lines")
+    counted = narrow.groupBy("d", "h", "long").agg(F.count_distinct("u").alias("n"))
+    often = counted.where(F.col("n") >= F.when(F.col("long"), REPEATED_LONG).otherwise(REPEATED_SHORT)).select("d", "h")
     return narrow.join(often, ["d", "h"]).groupBy("pid").agg(F.collect_set(F.col("no") + 1).alias("repeated"))
 
 

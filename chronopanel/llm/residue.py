@@ -17,7 +17,7 @@ GRAMMARS = {
     "hash": rf"#\{{\s*({_NAME})\s*\}}",
     "tag": rf"\{{%-?\s*({_NAME})\s*-?%\}}",
     "asp": rf"<%[=#]?\s*({_NAME})\s*%>",
-    "php": r"<\?(?:php|=)\s*(?:echo|print)?\s*\$?([\w.\->\[\]']{1,40})\s*;?\s*\?>",
+    "php": r"<\?(?:php|=)\s*(?:echo|print)?\s*\$?([\w.\->\[\]' ]{1,40}?)\s*;?\s*\?>",
     "wiki": rf"\[\[\s*({_NAME})\s*\]\]",
     "marker": rf"###\s*({_NAME})\s*###",
     "at": rf"@@\s*({_NAME})\s*@@",
@@ -27,8 +27,12 @@ GRAMMARS = {
     "bracket": rf"(?<![\w\[])\[({_NAME})\](?![\w\]])",
     "angle": r"<([a-z]+(?:[_.][a-z]+)+)>",
 }
-_ALL = re.compile("|".join(f"(?P<{k}>{p.replace('(' + _NAME, '(?:' + _NAME)})" if k not in ("php", "under", "percent", "angle") else f"(?P<{k}>{p})" for k, p in GRAMMARS.items()))
-_QUICK = re.compile(r"\{\{|\{\$|\$\{|#\{|\{%|<%|<\?|\[\[?\s*[A-Za-z]|###|@@|__|%[A-Za-z]|&lt;|<[a-z]+[_.]")
+_EACH = {k: re.compile(p) for k, p in GRAMMARS.items()}
+#: What a text must contain for a grammar to be tried.
+_SIGNS = {
+    "mustache": "{{", "smarty": "{$", "dollar": "${", "hash": "#{", "tag": "{%", "asp": "<%", "php": "<?", "wiki": "[[", "marker": "###", "at": "@@", "under": "__",
+    "percent": "%", "entity": "&lt;", "bracket": "[", "angle": "<",
+}
 _INNER = re.compile(r"[A-Za-z][\w.\- ]*[A-Za-z]|[A-Za-z]")
 _TITLE = re.compile(lx.EDITOR_TITLE, re.I)
 #: Words around a slot that show a text about templates, and the density of slots at which a block is code.
@@ -46,11 +50,13 @@ class Residue(NamedTuple):
 
 def slots(text: str | None) -> list[tuple[str, str, int]]:
     """``(grammar, slot name, position)`` of every unfilled placeholder. A single bracket counts only around the name of a slot."""
-    if not text or not _QUICK.search(text):
+    if not text:
         return []
     out = []
-    for m in _ALL.finditer(text):
-        kind = m.lastgroup or ""
+    taken: set[int] = set()
+    for kind, m in ((k, m) for k, sign in _SIGNS.items() if sign in text for m in _EACH[k].finditer(text)):
+        if m.start() in taken or m.end() in taken:
+            continue
         inner = _INNER.search(m.group().replace("&lt;", "").replace("&gt;", "").replace("<?php", "").replace("echo", ""))
         name = inner.group() if inner else ""
         if kind in ("bracket", "percent", "wiki", "entity", "under", "asp", "tag", "mustache", "hash", "at", "marker", "smarty", "dollar", "php", "angle"):
@@ -62,8 +68,9 @@ def slots(text: str | None) -> list[tuple[str, str, int]]:
                 continue
             if not name or kind in ("tag", "mustache", "hash", "dollar", "smarty", "at", "marker", "asp", "wiki") and len(name) < 2:
                 continue
+        taken.update(range(m.start(), m.end() + 1))
         out.append((kind, name, m.start()))
-    return out
+    return sorted(out, key=lambda x: x[2])
 
 
 def quoted(text: str, found: list[tuple[str, str, int]]) -> list[tuple[str, str, int]]:
@@ -73,7 +80,7 @@ def quoted(text: str, found: list[tuple[str, str, int]]) -> list[tuple[str, str,
         start = text.rfind("\n", 0, at) + 1
         end = text.find("\n", at)
         line = text[start : end if end >= 0 else len(text)]
-        around = text[max(start, at - 80) : at + 120]
+        around = text[max(start, at - 40) : at + 60]
         if TUTORIAL.search(around):
             continue
         rest = line.replace(" ", "")
