@@ -54,6 +54,26 @@ class Profiles(NamedTuple):
         _, count = np.unique(at, return_counts=True)
         return self.table[at].sum(axis=0) / (np.sqrt(float((count.astype(np.float64) ** 2).sum())) * np.sqrt(DIMENSIONS))
 
+    def each(self, texts: list[str]) -> np.ndarray:
+        """:meth:`cosines` of every text at once, one row each."""
+        out = np.zeros((len(texts), len(self.langs)))
+        padded = [f" {t} " for t in texts]
+        code = CODES[np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int64)
+        of = np.repeat(np.arange(len(texts)), [len(t) for t in padded])
+        if not len(code):
+            return out
+        keep = np.concatenate(([True], (code[1:] != 0) | (code[:-1] != 0)))
+        code, of = code[keep], of[keep]
+        mid = np.flatnonzero(code[1:-1] != 0) + 1
+        if not len(mid):
+            return out
+        at, of = (code[mid - 1] * SIZE + code[mid]) * SIZE + code[mid + 1], of[mid]
+        first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        key, count = np.unique(of * CELLS + at, return_counts=True)
+        square = np.bincount(key // CELLS, weights=count.astype(np.float64) ** 2, minlength=len(texts))
+        out[of[first]] = np.add.reduceat(self.table[at], first, axis=0)
+        return out / np.sqrt(np.maximum(square, 1.0) * DIMENSIONS)[:, None]
+
     def nearest(self, text: str) -> str | None:
         """Language with the greatest cosine, for which the text's norm doesn't matter; null for a text without letters."""
         at = cells(text)

@@ -65,7 +65,7 @@ def stretches(page: pl.Page, model: hdlang.Profiles) -> list[tuple[int, int, str
     at = [i for i, (x, b) in enumerate(zip(page.lines, page.body, strict=True)) if b and x.kind == "prose" and x.words >= PARAGRAPH_WORDS]
     if not at or not model.langs:
         return []
-    cos = np.stack([model.cosines(page.lines[i].text) for i in at])
+    cos = model.each([page.lines[i].text for i in at])
     size = np.array([page.lines[i].words for i in at], dtype=np.float64)
     main = int(np.argmax(size @ cos))
     out: list[tuple[int, int, str, float, int]] = []

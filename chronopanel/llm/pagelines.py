@@ -132,6 +132,8 @@ def classify(raw: str) -> Line:
     if not text:
         return Line("", "", 0)
     n = len(text)
+    if n > 1000 and text.count(" ") < n / 200:
+        return Line(text, "junk", text.count(" ") + 1)  # no language writes words of hundreds of letters
     return _long(raw, text) if n > 110 and text.count(" ") > 9 else _short(raw, text)
 
 
