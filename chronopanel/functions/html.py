@@ -11,14 +11,14 @@ from urllib.parse import unquote, urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import urls
 
-METADATA = (
-    "document_title string, meta_description string, meta_keywords string, html_lang string, canonical_url string, og_title string, "
-    "og_description string, og_site_name string, h1_text string, h2_text string, headings_json string, headings array<struct<level int, text string>>"
-)
-TEXT = "extracted_text string, extraction_method string, full_chars int"
+_NAMES = "document_title meta_description meta_keywords html_lang canonical_url og_title og_description og_site_name h1_text h2_text headings_json".split()
+_HEADING = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("text", T.StringType())])
+METADATA = T.StructType([*[T.StructField(n, T.StringType()) for n in _NAMES], T.StructField("headings", T.ArrayType(_HEADING))])
+TEXT = T.StructType([T.StructField("extracted_text", T.StringType()), T.StructField("extraction_method", T.StringType()), T.StructField("full_chars", T.IntegerType())])
 _HIDDEN = frozenset("script style noscript template head".split())
 _CHROME = frozenset("nav header footer aside form".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -130,13 +130,13 @@ def text_of(html: bytes | None) -> dict:
 @F.pandas_udf(METADATA)
 def extract_metadata(html: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in html:
-        yield pd.DataFrame([metadata_of(x) for x in s], columns=[c.split()[0] for c in METADATA.split(", ") if not c.startswith("text")])
+        yield pd.DataFrame([metadata_of(x) for x in s], columns=METADATA.fieldNames())
 
 
 @F.pandas_udf(TEXT)
 def extract_text(html: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in html:
-        yield pd.DataFrame([text_of(x) for x in s], columns=["extracted_text", "extraction_method", "full_chars"])
+        yield pd.DataFrame([text_of(x) for x in s], columns=TEXT.fieldNames())
 
 
 _WRAPPED = re.compile(r"^https?://web\.archive\.org/web/\d{14}[a-z_]*/(.+)$", re.I)

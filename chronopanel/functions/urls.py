@@ -8,6 +8,7 @@ from urllib.parse import parse_qs, urlencode
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The archive's host and the shape of its addresses.
 ARCHIVE_HOST = "web.archive.org"
@@ -109,9 +110,9 @@ def suffix(url: Column, suffixes: list[str] = SUFFIXES) -> Column:
     return F.when(F.size(part) < 2, "").when((F.size(part) > 2) & two.isin(*suffixes), two).otherwise(F.element_at(part, -1))
 
 
-def registrable_domain(url: Column, suffixes: list[str] = SUFFIXES) -> Column:
-    """Public suffix and the label before it; the whole host if it has no suffix."""
-    own = unwrap(url)
+def registrable_domain(url: Column, suffixes: list[str] = SUFFIXES, wrapped: bool = True) -> Column:
+    """Public suffix and the label before it; the whole host if it has no suffix. ``wrapped``: the address may be an archive address."""
+    own = unwrap(url) if wrapped else url
     part = labels(netloc(own))
     take = F.when((F.size(part) > 2) & F.array_join(F.slice(part, F.greatest(F.size(part) - 1, F.lit(1)), F.lit(2)), ".").isin(*suffixes), 3).otherwise(2)
     return F.when(F.size(part) < 2, F.lower(netloc(own))).otherwise(F.array_join(F.slice(part, F.greatest(F.size(part) - take + 1, F.lit(1)), take), "."))
@@ -138,7 +139,7 @@ def same_registrable_domain(a: Column, b: Column) -> Column:
 
 
 def _requery(patterns: list[str]):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def requery(queries: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for q in queries:
             yield q.map(lambda x: None if x is None else urlencode({k: v for k, v in parse_qs(x, keep_blank_values=True).items() if not any(p in k for p in patterns)}, doseq=True))
@@ -163,22 +164,22 @@ def normalize(url: Column, strip_query: bool = False, exclude_query_patterns: li
     return F.concat(head, F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
 
 
-def is_excluded(url: Column, extract_pdf: bool = False) -> Column:
+def is_excluded(url: Column, extract_pdf: bool = False, wrapped: bool = True) -> Column:
     """Whether a crawl leaves an address out: by path, by scheme or by extension (the text after the path's last dot)."""
-    own = unwrap(url)
+    own = unwrap(url) if wrapped else url
     p = F.lower(raw_path(own))
     ext = F.when(F.contains(p, F.lit(".")), F.substring_index(p, ".", -1)).otherwise("")
     listed = [e for e in EXTENSIONS if not (extract_pdf and e == "pdf")]
     return p.rlike(EXCLUDED_PATH) | scheme(own).isin("mailto", "tel", "javascript") | ext.isin(*listed)
 
 
-def should_follow(url: Column, domain: Column, extract_pdf: bool = False) -> Column:
-    return ~is_excluded(url, extract_pdf) & (registrable_domain(url) == domain)
+def should_follow(url: Column, domain: Column, extract_pdf: bool = False, wrapped: bool = True) -> Column:
+    return ~is_excluded(url, extract_pdf, wrapped) & (registrable_domain(url, wrapped=wrapped) == domain)
 
 
-def branding_score(url: Column, patterns: dict[str, list[str]], prefer_german: bool) -> Column:
+def branding_score(url: Column, patterns: dict[str, list[str]], prefer_german: bool, wrapped: bool = True) -> Column:
     """Sum of the weights of all patterns that the path contains, and up to 30 points for a short path."""
-    p = F.lower(raw_path(unwrap(url)))
+    p = F.lower(raw_path(unwrap(url) if wrapped else url))
     total = F.greatest(F.lit(0), F.lit(30) - F.length(p))
     for lang, top, more in (("de", 100, 10 if prefer_german else 0), ("en", 50, 0)):
         for i, pattern in enumerate(patterns.get(lang, [])):

@@ -32,12 +32,16 @@ def discover(firms: DataFrame, index: DataFrame, config: Config, discovered_at:
     return schemas.conform(out, schemas.SNAPSHOTS)
 
 
+_RESPONSE = ("fetch_error", "mime_type", "content_hash", "final_url", "fetch_timestamp", "redirect_chain")
+
+
 def crawl_and_extract(snapshots: DataFrame, firms: DataFrame, fetched: DataFrame, config: Config) -> DataFrame:
     """Page rows of all snapshots. ``fetched``: firm_id, relative_timepoint, url, and what a response holds (http_status, content, mime_type,
     content_hash, fetch_error, final_url, fetch_timestamp)."""
     tag = F.concat_ws("|", "firm_id", "relative_timepoint")
     norm = lambda c: urls.normalize(c, config.crawl.strip_query_strings, config.crawl.exclude_query_patterns)
-    own = fetched.withColumn("snapshot_id", tag).withColumn("url", norm(F.col("url"))).dropDuplicates(["snapshot_id", "url"])
+    missing = {n: F.lit(None).cast(t) for n, t in schemas.columns(schemas.PAGES) if n in _RESPONSE and n not in fetched.columns}
+    own = fetched.withColumns(missing).withColumn("snapshot_id", tag).withColumn("url", norm(F.col("url"))).dropDuplicates(["snapshot_id", "url"])
     lookup = firms.groupBy("firm_id").agg(F.first("website").alias("website"), F.first("primary_domain").alias("primary_domain"))
     chosen = snapshots.where(F.col("snapshot_status") == "selected").withColumn("snapshot_id", tag).join(lookup, "firm_id")
     first = F.coalesce(F.nullif(F.col("canonical_original_url"), F.lit("")), F.col("website"))
