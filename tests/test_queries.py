@@ -1,8 +1,11 @@
 """Every query against its SQL on the smallest tables, where they are at hand."""
 
 import glob
+import numbers
 import os
 
+import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -14,7 +17,13 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 def _rows(df):
     own = df[sorted(df.columns)]
-    show = lambda x: "-" if x is None or x != x else f"{x:.6f}" if isinstance(x, float) else str(x)[:10] if hasattr(x, "year") else str(x)
+    def show(x):
+        if pd.isna(x):
+            return "-"
+        if isinstance(x, numbers.Number) and not isinstance(x, (bool, np.bool_)):
+            return f"{float(x):.6f}"  # a column of integers with nulls may come as floats
+        return str(x)[:10] if hasattr(x, "year") else str(x)
+
     return sorted(tuple(show(x) for x in r) for r in own.astype(object).itertuples(index=False))
 
 
