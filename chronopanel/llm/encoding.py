@@ -30,8 +30,6 @@ CHANNELS = (
     ("mac_roman", "cp1252"), ("mac_roman", "latin-1"), ("cp850", "cp1252"), ("cp850", "latin-1"),
 )
 LOST_BYTES = len(CHANNELS)  # the channel that only loses bytes
-#: A run of anything but white space and ASCII punctuation that holds a character beyond ASCII.
-TOKEN = r"[0-9A-Za-z]*+[^\x00-\x7f„“«][^\x00-\x20!-/:-@\[-`{-~„“«]*"
 #: Greatest share of a word's uses that one channel has damaged: so many uses of a damaged form say nothing for it.
 DAMAGED_SHARE = 0.02
 #: Log cost of a token that is sound as it stands inside a damaged stretch, and the most that a reading without letters can gain.
@@ -60,6 +58,30 @@ def _single(name: str) -> tuple[dict[str, int], dict[int, str]]:
 _CODE = {x: _single(x) for x in {"cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp850", "cp437"}}
 
 
+#: Opening and closing quotes that end a token, unless they are what a wrong decoding made of a letter.
+MARKS = "„“«"
+#: First bytes of UTF-8 for Latin letters, Greek, Cyrillic, Hebrew and Arabic, and of three bytes for marks, symbols and rarer Latin letters.
+#: Others would take words such as CAFÉ, MENÜ or Spaß before a quote for the start of a character of far scripts.
+LEAD_2, LEAD_3 = (*range(0xC2, 0xC6), *range(0xCE, 0xD2), *range(0xD7, 0xDA)), (0xE1, 0xE2, 0xEF)
+
+
+def _mark() -> str:
+    """Pattern of a mark inside a token: it completes or continues a character of UTF-8 read by one byte, or stands between letters."""
+    places = ["(?<=[A-Za-zÀ-ɏ].)(?=[A-Za-zÀ-ɏ])"]
+    for read in sorted({r for t, r in CHANNELS if t == "utf-8"}):
+        back, char = _CODE[read]
+        marks = "".join(c for c in MARKS if 0x80 <= back.get(c, 0) < 0xC0)
+        two, three, rest = ("".join(char[b] for b in x) for x in (LEAD_2, LEAD_3, range(0x80, 0xC0)))
+        if marks:
+            places += [f"(?<=[{two}][{marks}])", f"(?<=[{three}][{marks}])(?=[{rest}])", f"(?<=[{three}][{rest}][{marks}])"]
+    return f"[{MARKS}](?:{'|'.join(places)})"
+
+
+#: A run of anything but white space, ASCII punctuation and free marks that holds a character beyond ASCII.
+_REST = rf"[^\x00-\x20!-/:-@\[-`{{-~{MARKS}]*+"
+TOKEN = rf"[0-9A-Za-z]*+(?:[^\x00-\x7f{MARKS}]|{_mark()}){_REST}(?:{_mark()}{_REST})*+"
+
+
 def _bytes(text: str, read: str) -> bytes | None:
     table = _CODE[read][0]
     out = bytearray()
@@ -261,7 +283,7 @@ def restored(table: DataFrame) -> DataFrame:
     return rows.mapInPandas(put, f"{pages.KEY_SCHEMA}, field_name string, text string, restored string").distinct()
 
 
-_JAVA_TOKEN = re.compile(TOKEN.replace("*+", "*"))
+_JAVA_TOKEN = re.compile(TOKEN)
 
 
 def apply(text: str, changes: dict[int, str]) -> str:

@@ -156,3 +156,9 @@ def test_long_runs_meet_whatever_their_length():
 def test_template_words():
     items, windows = leak.prepare([(1, "In Altdorf wurden 25 Pressen von der Familie Muster an drei neue Werke verkauft und geliefert."), (2, None)], 13)
     assert len(windows) == 4 and leak.NUMBER in windows[0][4] and "altdorf" in items.names
+
+
+def test_quotes_made_by_a_wrong_decoding_stay_in_their_token():
+    for true, bad in (("–", "â€“"), ("ideeën", "ideeÃ«n"), ("Ärger", "Ã„rger"), ("cœur", "cÅ“ur"), ("™", "â„¢"), ("Öl", "Ãƒâ€“l"), ("–", "вЂ“"), ("São", "S„o"), ("später", "sp„ter"), ("©î", "┬®├«")):
+        assert encoding._JAVA_TOKEN.findall(f"a {bad} b") == [bad] and true in [x for _, x in encoding.readings(bad, {})]
+    assert encoding._JAVA_TOKEN.findall("„Größe“ «État» „Spaß“ „Café“ CAFÉ“ »MENÜ« „a“") == ["Größe", "État»", "Spaß", "Café", "CAFÉ", "»MENÜ"]

@@ -131,3 +131,9 @@ def test_statistics_contributions_add_up(spark, words):
     assert {r[2][-1] for r in quality.found(a).collect()} == {"l", "c"}
     assert all(abs(sum(r["contributions"]) - r["distance"]) < 1e-6 for r in a.where(F.col("distance").isNotNull()).collect())
     assert len(quality.STATISTICS) == 9 and isinstance(hdlang.CELLS, int) and pages.KEY[0] == "firm_id"
+
+
+def test_damage_that_ends_in_a_quote_is_found_alone(spark):
+    clean = [page(i, "De ideeën – Ärger und später.") for i in range(30)]
+    t = table(spark, [*clean, page("n", "x", title="Unternehmen â€“ Papier"), page("e", "De ideeÃ«n"), page("u", "Ã„rger heute"), page("q", "„Ärger“ « später »")])
+    assert {r["original_archived_url"][-1]: r["restored"] for r in encoding.restored(t).collect()} == {"n": "Unternehmen – Papier", "e": "De ideeën", "u": "Ärger heute"}
