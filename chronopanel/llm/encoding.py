@@ -1,10 +1,10 @@
 """Text that was read in a wrong character encoding: noisy-channel decoding over byte lattices.
 
 A *channel* is a pair (encoding the bytes were in, encoding they were read in). A damaged token is turned back into bytes by the second and
-laid out as a lattice by the first; a replacement character is a lost byte, that is, an edge for each letter that may have stood there. The
-best path through a lattice is found by Viterbi search under letter frequencies, and whole words are weighed by their frequency in the
-corpus, in which the true word is commoner than its damaged form. A second Viterbi search runs over the suspicious tokens of a field, with
-one state for each channel, as damage comes in stretches of one channel.
+laid out as a lattice by the first, and whole words are weighed by their frequency in the corpus, in which the true word is commoner than its
+damaged form. A replacement character is a lost byte: every word of the corpus that fits the rest of the token is a reading, and without one
+the token stays as it is. A Viterbi search runs over the suspicious tokens of a field, with one state for each channel, as damage comes in
+stretches of one channel.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import pairwise
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -79,7 +81,7 @@ def _mark() -> str:
 
 #: A run of anything but white space, ASCII punctuation and free marks that holds a character beyond ASCII.
 _REST = rf"[^\x00-\x20!-/:-@\[-`{{-~{MARKS}]*+"
-TOKEN = rf"[0-9A-Za-z]*+(?:[^\x00-\x7f{MARKS}]|{_mark()}){_REST}(?:{_mark()}{_REST})*+"
+TOKEN = rf"(?<![0-9A-Za-z])[0-9A-Za-z]*+(?=[^\x00-\x7f])(?:[^\x00-\x7f{MARKS}]|{_mark()}){_REST}(?:{_mark()}{_REST})*+"
 
 
 def _bytes(text: str, read: str) -> bytes | None:
@@ -134,6 +136,29 @@ def best_paths(columns: list[list[tuple[str, float]]], width: int = 24) -> list[
     return paths
 
 
+#: Characters that a lost byte may have belonged to: Latin letters beyond ASCII, marks and symbols.
+_WILD = "\xa0-\u024f\u1e00-\u1eff\u2010-\u22ff"
+
+
+def frame(token: Column) -> Column:
+    """What a damaged token and all words that may fit it have in common: each run of lost bytes and of characters beyond ASCII becomes one sign."""
+    return F.regexp_replace(token, f"[{_WILD}{LOST}]+", LOST)
+
+
+@lru_cache(4096)
+def _fitting(token: str) -> re.Pattern[str]:
+    parts = re.split(f"({LOST}+)", token)
+    return re.compile("".join(f"[{_WILD}]{{{-(-len(x) // 3)},{len(x)}}}" if x.startswith(LOST) else re.escape(x) for x in parts))
+
+
+def fits(token: str, word: str) -> bool:
+    """Whether losing bytes can turn ``word`` into ``token``: a run of replacement characters stands for characters of one to three bytes each.
+    Words that are damaged themselves are none: UTF-8 in a wrong reading, or a small letter before a capital, one of them beyond ASCII."""
+    if _fitting(token).fullmatch(word) is None or any(a.islower() and b.isupper() and not (a + b).isascii() for a, b in pairwise(word)):
+        return False
+    return all(undo(word, k) is None for k, (t, _) in enumerate(CHANNELS) if t in ("utf-8", "twice"))
+
+
 def readings(token: str, letters: dict[str, float]) -> list[tuple[int, str]]:
     """``(channel, what the token may have been)``."""
     if LOST in token:
@@ -181,29 +206,46 @@ def suspicious(freq: DataFrame) -> DataFrame:
     Readings meet the corpus frequencies in a shuffled join, so no vocabulary is broadcast.
     """
     model = letter_model(freq)
-    lost = {c: model.letter.get(c, -14.0) for c in LETTERS}
+    is_lost = F.col("token").contains(LOST)
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for token, n in zip(batch["token"], batch["n"], strict=True):
                 spelled = model.spelled(token)
-                for channel, text in readings(token, lost):
+                for channel, text in readings(token, {}):
                     out.append((token, int(n), spelled, channel, text, model.spelled(text)))
             yield pd.DataFrame(out, columns=["token", "n", "spelled", "channel", "text", "text_spelled"])
 
-    options = freq.mapInPandas(expand, "token string, n long, spelled double, channel int, text string, text_spelled double")
+    options = freq.where(~is_lost).mapInPandas(expand, "token string, n long, spelled double, channel int, text string, text_spelled double")
     known = freq.select(F.col("token").alias("text"), F.col("n").alias("text_n"))
     both = options.join(known, "text", "left").withColumn("text_n", F.coalesce("text_n", F.lit(0)))
     log_p = lambda n, s: F.log(F.greatest(n, F.lit(0)) + F.lit(PRIOR) * F.exp(s) + F.lit(1e-30))
     utf8 = F.col("channel").isin([k for k, (t, _) in enumerate(CHANNELS) if t in ("utf-8", "twice")])
-    score = log_p(F.col("text_n"), F.col("text_spelled")) + F.when(utf8, VALID).when(((F.col("text_n") == 0) | (F.col("text_spelled") < F.col("spelled"))) & (F.col("channel") != LOST_BYTES), -UNSEEN).otherwise(0.0)
+    score = log_p(F.col("text_n"), F.col("text_spelled")) + F.when(utf8, VALID).when((F.col("text_n") == 0) | (F.col("text_spelled") < F.col("spelled")), -UNSEEN).otherwise(0.0)
     own = F.col("n") - 1 - F.least(F.col("n") - 1, F.max(F.col("text_n") * DAMAGED_SHARE).over(Window.partitionBy("token")))
-    clean = F.when(F.col("token").contains(LOST), -99.0).otherwise(log_p(own, F.col("spelled")))
-    mark = ~utf8 & (F.col("channel") != LOST_BYTES) & ~F.col("text").rlike(r"\p{L}")
+    clean = log_p(own, F.col("spelled"))
+    mark = ~utf8 & ~F.col("text").rlike(r"\p{L}")
     best = both.withColumn("clean", clean).withColumn("score", F.when(mark, F.least(score, F.col("clean") + MARK_GAIN)).otherwise(score))
     best = best.where(F.col("score") > F.col("clean") - SLACK)
-    return best.groupBy("token").agg(F.first("clean").alias("clean"), F.collect_list(F.struct("channel", "score", "text")).alias("options"))
+    best = best.groupBy("token").agg(F.first("clean").alias("clean"), F.collect_list(F.struct("channel", "score", "text")).alias("options"))
+    return best.unionByName(lost_words(freq.where(is_lost), freq.where(~is_lost)))
+
+
+def lost_words(lost: DataFrame, words: DataFrame) -> DataFrame:
+    """``token, clean, options`` for tokens with lost bytes: the commonest word that fits, of all ``words``, else the token itself."""
+    lost = lost.select("token", frame(F.col("token")).alias("frame"))
+    words = words.select(F.col("token").alias("text"), "n", frame(F.col("token")).alias("frame"))
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[fits(t, w) for t, w in zip(batch["token"], batch["text"], strict=True)]]
+
+    pairs = lost.join(words, "frame").select("token", "text", "n").mapInPandas(fit, "token string, text string, n long")
+    top = pairs.groupBy("token").agg(F.max(F.struct("n", "text")).alias("top"))
+    text, n = F.coalesce("top.text", "token"), F.coalesce("top.n", F.lit(0))
+    option = F.struct(F.lit(LOST_BYTES).alias("channel"), F.log(n + 1.0).alias("score"), text.alias("text"))
+    return lost.join(top, "token", "left").select("token", F.lit(-99.0).alias("clean"), F.array(option).alias("options"))
 
 
 def decide(tokens: list[tuple[int, float, list[tuple[int, float, str]]]]) -> dict[int, str]:

@@ -137,3 +137,11 @@ def test_damage_that_ends_in_a_quote_is_found_alone(spark):
     clean = [page(i, "De ideeën – Ärger und später.") for i in range(30)]
     t = table(spark, [*clean, page("n", "x", title="Unternehmen â€“ Papier"), page("e", "De ideeÃ«n"), page("u", "Ã„rger heute"), page("q", "„Ärger“ « später »")])
     assert {r["original_archived_url"][-1]: r["restored"] for r in encoding.restored(t).collect()} == {"n": "Unternehmen – Papier", "e": "De ideeën", "u": "Ärger heute"}
+
+
+def test_lost_bytes_take_any_corpus_word_and_stay_where_none_is_known(spark):
+    clean = [page(i, "reçu revêtements größere ideeën Übermaß – für «Öl»\n" + "für über ähnlich später " * 20) for i in range(20)]
+    bad = {"a": ("re�u", "reçu"), "b": ("rev��tements", "revêtements"), "c": ("gr��ere", "größere"), "d": ("�berma�", "Übermaß"), "e": ("idee�n", "ideeën"), "f": ("xy�zzy", "xy�zzy"), "g": ("a ��� b", "a – b"), "h": ("�The", "�The")}
+    t = table(spark, clean + [page("ok", "ôThe")] + [page(k, x) for k, (x, _) in bad.items()])
+    assert {r["original_archived_url"][-1]: r["restored"] for r in encoding.restored(t).collect()} == {k: y for k, (_, y) in bad.items()}
+    assert encoding.found(t).count() == len(bad)
