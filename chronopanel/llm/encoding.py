@@ -160,11 +160,11 @@ def fits(token: str, word: str) -> bool:
 
 
 def readings(token: str, letters: dict[str, float]) -> list[tuple[int, str]]:
-    """``(channel, what the token may have been)``."""
+    """``(channel, what the token may have been)``. For lost bytes these are spellings, the token itself last; :func:`lost_words` asks the corpus."""
     if LOST in token:
         clean = re.sub(f"{LOST}{{2,}}", lambda m: LOST * max(1, len(m.group()) // 2), token)
         forms = {token} if clean == token else {token, clean}
-        return [(LOST_BYTES, text) for form in sorted(forms) if form.count(LOST) <= 6 for text, _ in best_paths(lattice(form, letters))]
+        return [(LOST_BYTES, text) for form in sorted(forms) for text, _ in best_paths(lattice(form, letters))] + [(LOST_BYTES, token)]
     out = []
     for k in range(len(CHANNELS)):
         got = undo(token, k)

@@ -145,3 +145,9 @@ def test_lost_bytes_take_any_corpus_word_and_stay_where_none_is_known(spark):
     t = table(spark, clean + [page("ok", "ôThe")] + [page(k, x) for k, (x, _) in bad.items()])
     assert {r["original_archived_url"][-1]: r["restored"] for r in encoding.restored(t).collect()} == {k: y for k, (_, y) in bad.items()}
     assert encoding.found(t).count() == len(bad)
+
+
+def test_token_of_many_lost_bytes_is_a_case(spark):
+    assert encoding.readings("�a" * 8, {"ü": -2.0})[-1] == (encoding.LOST_BYTES, "�a" * 8)
+    t = table(spark, [page(i, "Für Maschinen") for i in range(9)] + [page("w", "�a" * 8), page("r", "�" * 40)])
+    assert {r["original_archived_url"][-1]: r["restored"] for r in encoding.restored(t).collect()} == {"w": "�a" * 8, "r": "�" * 40}
