@@ -45,6 +45,7 @@ _SLOGAN = re.compile(r"^[^\W\d_][^\s.:–!?,]*(?: [^\s.:–!?,]+){1,2}(?:\.|:| 
 _CODELIKE = re.compile(r"(?:function\s*\(|\bvar \w+\s*=|;\}|\)\s*\{|=>|\breturn\b.*;|</?\w+[^>]*>|\w+\(\w*\);)")
 _END = re.compile(r"[.!?…;:][\"”“»’')\]]*(?: \([^)]*\)\.?)?$")
 _WORD = re.compile(r"[^\W_]+")
+_DIGIT = re.compile(r"\d")
 _MIXED = re.compile(r"^(?=\w*\d)(?=\w*[a-z])\w+$")
 
 CHROME = frozenset(("menu", "trail", "teaser", "dated", "script", "slogan", "footer", "phone", "address", *lx.PROMPTS))
@@ -113,16 +114,36 @@ def _table(raw: str) -> bool:
     return len(words) >= 5 and sum(w == "-" or w[0].isdigit() for w in words) >= 0.4 * len(words) and raw.strip()[-1:] not in ".!?"
 
 
+def _mash(low: str) -> bool:
+    return low in lx.MASH or low[:3] == "jkl" or len(low) > 1 and not low.strip("x") or len(low) >= 5 and low[:5] in lx.LOREM
+
+
 def is_lorem(words: list[str]) -> bool:
     """Made-up Latin or keyboard mash: most words, and at least four."""
-    if len(words) < 4:
+    return len(words) >= 4 and sum(_mash(w.lower()) for w in words) >= 0.6 * len(words)
+
+
+#: Words of a paragraph that are looked at together for made-up Latin and keyboard mash.
+WINDOW = 14
+_MASH_STARTS = frozenset(lx.LOREM[i : i + 5] for i in range(len(lx.LOREM) - 4)) | {w[:5] for w in lx.MASH}
+
+
+def has_lorem(words: list[str], low: list[str]) -> bool:
+    """Whether any ``WINDOW`` words in a row, or all if they are fewer, are made-up Latin or keyboard mash; ``low``: the words in lower case.
+
+    Of two words in a row one is at an even place, so a window of which most words are mash has at least two of them there.
+    """
+    if len(words) <= WINDOW:
+        return is_lorem(words)
+    if sum(w[:5] in _MASH_STARTS or w[:3] == "jkl" or w[:2] == "xx" for w in low[::2]) < 2:
         return False
-    low = [w.lower() for w in words]
-    hit = 0
-    for w in low:
-        if w in lx.MASH or w[:3] == "jkl" or len(w) > 1 and not w.strip("x") or len(w) >= 5 and w[:5] in lx.LOREM:
-            hit += 1
-    return hit >= 0.6 * len(low)
+    hits = [_mash(w) for w in low]
+    now = sum(hits[:WINDOW])
+    for old, new in zip(hits, [*hits[WINDOW:], False], strict=False):
+        if now >= 0.6 * WINDOW:
+            return True
+        now += new - old
+    return False
 
 
 @lru_cache(maxsize=200_000)
@@ -146,7 +167,8 @@ def _long(raw: str, text: str) -> Line:
         return line("notice")
     if _TRAIL.match(head):
         return line("trail")
-    if next(_FIND_FILLER.iter(lx.skeleton(text)), None) or is_lorem(words[:14]) or nw > 30 and is_lorem(words[-14:]):
+    letters = lx.skeleton(text)
+    if next(_FIND_FILLER.iter(letters), None) or has_lorem(words, text.lower().split(" ")):
         return line("filler")
     marks = sum(map(text.count, "|¦>›»/·;=<{")) + raw.count("\t") + raw.count("  ")
     if marks > 2 or text[-1] not in ".!?“”\")’":
@@ -160,9 +182,9 @@ def _long(raw: str, text: str) -> Line:
             return line("table")
     if nw > 6 and text.count(",") >= 0.3 * nw:
         return line("list")
-    some = words[:24]
-    odd = sum(1 for w in some if _MIXED.match(w))
-    if odd > 0.4 * len(some) or sum(map(str.isalpha, text[:200])) < 0.5 * min(len(text), 200):
+    if len(letters) < 0.5 * len(text) and sum(map(str.isalpha, text)) < 0.5 * len(text):
+        return line("junk")
+    if len(_DIGIT.findall(text)) > 0.4 * nw and sum(1 for w in words if _MIXED.match(w)) > 0.4 * nw:
         return line("junk")
     return line("prose")
 

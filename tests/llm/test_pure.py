@@ -162,3 +162,21 @@ def test_quotes_made_by_a_wrong_decoding_stay_in_their_token():
     for true, bad in (("–", "â€“"), ("ideeën", "ideeÃ«n"), ("Ärger", "Ã„rger"), ("cœur", "cÅ“ur"), ("™", "â„¢"), ("Öl", "Ãƒâ€“l"), ("–", "вЂ“"), ("São", "S„o"), ("später", "sp„ter"), ("©î", "┬®├«")):
         assert encoding._JAVA_TOKEN.findall(f"a {bad} b") == [bad] and true in [x for _, x in encoding.readings(bad, {})]
     assert encoding._JAVA_TOKEN.findall("„Größe“ «État» „Spaß“ „Café“ CAFÉ“ »MENÜ« „a“") == ["Größe", "État»", "Spaß", "Café", "CAFÉ", "»MENÜ"]
+
+
+def test_long_lines_are_judged_as_a_whole():
+    prose = "Unsere neuen Pressen arbeiten seit dem Frühjahr im Werk, weil die alten Maschinen für die Kunden zu langsam waren. " * 4
+    assert pl.classify(prose.strip()).kind == "prose"
+    for mash in ("asdf jklo " * 10, "dolor consectetur adipiscing " * 6):
+        assert pl.classify(f"{prose}{mash}{prose}".strip()).kind == "filler"
+    assert pl.classify(prose + "§$ %& 12 34 §§ ## 56 " * 40 + "Ende.").kind == "junk"
+    assert pl.classify(prose + "a1b x9y 7qz k3k zz4 " * 40 + "Ende.").kind == "junk"
+    assert pl.classify("a1b x9y 7qz k3k zz4 " * 5 + prose.strip()).kind == "prose"
+
+
+def test_mash_windows_equal_brute_force():
+    rng = random.Random(5)
+    for _ in range(3000):
+        words = [rng.choice(("asdf", "Dolore", "jklm", "xx", "Werk", "die", "Dolor")) if rng.random() < 0.8 else "der" for _ in range(rng.randint(0, 40))]
+        brute = any(pl.is_lorem(words[i : i + pl.WINDOW]) for i in range(max(1, len(words) - pl.WINDOW + 1)))
+        assert pl.has_lorem(words, [w.lower() for w in words]) == brute
