@@ -140,6 +140,6 @@ def assessed(table: DataFrame, model: hdlang.Profiles, common_words: DataFrame)
 
 
 def found(assessed_pages: DataFrame) -> DataFrame:
-    """Page keys that aren't prose: beyond the cut-off and mostly list, table or junk by words, or without body. Residue is left out."""
-    far = (F.col("distance") > CUTOFF) & (F.col("odd_share") > 0.5)
-    return assessed_pages.where(~F.col("residue") & (F.col("stats").isNull() | far)).select(*pages.KEY).distinct()
+    """Page keys that aren't prose: mostly list, table or junk by words, or without body. Residue is left out. The distance describes and decides
+    nothing, so the result needs no reference and doesn't change with the other pages."""
+    return assessed_pages.where(~F.col("residue") & (F.col("stats").isNull() | (F.col("odd_share") > 0.5))).select(*pages.KEY).distinct()

@@ -151,3 +151,9 @@ def test_token_of_many_lost_bytes_is_a_case(spark):
     assert encoding.readings("�a" * 8, {"ü": -2.0})[-1] == (encoding.LOST_BYTES, "�a" * 8)
     t = table(spark, [page(i, "Für Maschinen") for i in range(9)] + [page("w", "�a" * 8), page("r", "�" * 40)])
     assert {r["original_archived_url"][-1]: r["restored"] for r in encoding.restored(t).collect()} == {"w": "�a" * 8, "r": "�" * 40}
+
+
+def test_mostly_lists_need_no_distance(spark):
+    rows = [(*"abc", "de", False, share, [0.0] * 9, d) for share, d in ((0.6, None), (0.6, 1.0), (0.5, 99.0))]
+    a = spark.createDataFrame([(str(i), *r[1:]) for i, r in enumerate(rows)], "firm_id string, relative_timepoint string, original_archived_url string, lang string, residue boolean, odd_share double, stats array<double>, distance double")
+    assert {r["firm_id"] for r in quality.found(a).collect()} == {"0", "1"}
