@@ -38,13 +38,14 @@ def page_id() -> Column:
     return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(7), *reversed(parts)).alias("b"))
 
 
-def with_text(pages: DataFrame) -> DataFrame:
-    """Rows that are pages with text. Other columns than the needed ones may be absent or present; the needed are null if absent."""
+def with_text(pages: DataFrame, or_title: bool = False) -> DataFrame:
+    """Rows that are pages with text, or with a title if ``or_title``. Other columns than the needed ones may be absent or present; the needed are null if absent."""
     have = set(pages.columns)
     cols = [F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in _NEEDED]
     rest = [c for c in ("meta_description", "text_language", "html_lang") if c in have]
-    out = pages.select(*cols, *rest).where(F.col("original_archived_url").isNotNull() & (F.length("extracted_text") > 0))
-    return out.where(F.trim(F.translate("extracted_text", "\n\t\u00a0", "")) != "")
+    some = lambda c: (F.length(c) > 0) & (F.trim(F.translate(c, "\n\t\u00a0", "")) != "")
+    filled = some("extracted_text") | some("document_title") if or_title else some("extracted_text")
+    return pages.select(*cols, *rest).where(F.col("original_archived_url").isNotNull() & filled)
 
 
 def repeated_lines(pages: DataFrame) -> DataFrame:
@@ -64,9 +65,9 @@ def repeated_lines(pages: DataFrame) -> DataFrame:
     return narrow.join(often, ["d", "h"]).groupBy("pid").agg(F.collect_set(F.col("no") + 1).alias("repeated"))
 
 
-def labelled(pages: DataFrame, each: Callable[[Any, pl.Page], Iterator[tuple]], schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Rows that ``each(row, page)`` yields after the page key, for every page with text; ``extra``: further columns that it reads."""
-    base = with_text(pages)
+def labelled(pages: DataFrame, each: Callable[[Any, pl.Page], Iterator[tuple]], schema: str, extra: tuple[str, ...] = (), or_title: bool = False) -> DataFrame:
+    """Rows that ``each(row, page)`` yields after the page key, for every page with text (or title, if ``or_title``); ``extra``: further columns that it reads."""
+    base = with_text(pages, or_title)
     base = base.select(*_NEEDED, *[c for c in extra if c in base.columns])
     both = base.withColumn("pid", page_id()).join(repeated_lines(base), "pid", "left").drop("pid", "registrable_domain")
     return both.mapInPandas(_runner(each, schema), schema)

@@ -32,7 +32,7 @@ def p2_residue(spark: SparkSession, sf: str) -> DataFrame:
         for x in residue.find(page, row.extracted_text, row.document_title):
             yield x.kind, x.piece
 
-    return pages.labelled(_t(spark, sf, "pages"), each, f"{pages.KEY_SCHEMA}, kind string, piece string").distinct()
+    return pages.labelled(_t(spark, sf, "pages"), each, f"{pages.KEY_SCHEMA}, kind string, piece string", or_title=True).distinct()
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

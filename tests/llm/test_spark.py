@@ -6,7 +6,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from chronopanel.llm import encoding, hdlang, language, leak, lines, pack, pages, quality, spans
+from chronopanel.llm import encoding, hdlang, language, leak, lines, pack, pages, quality, queries, spans
 
 PAGES = "firm_id string, relative_timepoint string, original_archived_url string, registrable_domain string, document_title string, h1_text string, meta_description string, extracted_text string, text_language string, html_lang string, pid int, n string, line string"
 WORDS = {"de": "der die das und nicht mit von auf für ist ein eine werden durch über wir haben unsere".split(), "en": "the of and to in is that with for was this have from they which our are".split()}
@@ -157,3 +157,8 @@ def test_mostly_lists_need_no_distance(spark):
     rows = [(*"abc", "de", False, share, [0.0] * 9, d) for share, d in ((0.6, None), (0.6, 1.0), (0.5, 99.0))]
     a = spark.createDataFrame([(str(i), *r[1:]) for i, r in enumerate(rows)], "firm_id string, relative_timepoint string, original_archived_url string, lang string, residue boolean, odd_share double, stats array<double>, distance double")
     assert {r["firm_id"] for r in quality.found(a).collect()} == {"0", "1"}
+
+
+def test_titles_without_text_are_read_for_residue(spark, tmp_path):
+    table(spark, [page("t", None, title="{{ title }}"), page("u", " \n", title="Untitled Document"), page("v", None, title="Presse"), page("w", "x", title=" "), *EDGE[:4]]).write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r["original_archived_url"][-1] for r in queries.p2_found(spark, str(tmp_path)).collect()} == {"t", "u"}
