@@ -12,15 +12,20 @@ from typing import NamedTuple
 
 import numpy as np
 
-# The letters that are told apart; everything else counts as a gap between words.
+# The letters that are told apart by themselves; what is no letter counts as a gap between words.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzäöüßéèêàâçñáíóúùûôîïëœæåãìò"
-SIZE = len(ALPHABET) + 1
+#: Classes into which all other letters of Unicode are hashed. Their trigrams hardly occur in Latin prototypes, so their cosines stay near 0.
+OTHERS = 3
+SIZE = len(ALPHABET) + 1 + OTHERS
 CELLS = SIZE**3
 DIMENSIONS = 2048
 
 
 def _codes() -> np.ndarray:
     table = np.zeros(0x110000, dtype=np.uint8)
+    for c in range(0x32000):
+        if chr(c).isalpha():
+            table[c] = len(ALPHABET) + 1 + ord(chr(c).lower()[0]) % OTHERS
     for i, c in enumerate(ALPHABET):
         table[ord(c)] = i + 1
         if len(c.upper()) == 1:
@@ -54,25 +59,32 @@ class Profiles(NamedTuple):
         _, count = np.unique(at, return_counts=True)
         return self.table[at].sum(axis=0) / (np.sqrt(float((count.astype(np.float64) ** 2).sum())) * np.sqrt(DIMENSIONS))
 
-    def each(self, texts: list[str]) -> np.ndarray:
-        """:meth:`cosines` of every text at once, one row each."""
-        out = np.zeros((len(texts), len(self.langs)))
+    def sums(self, texts: list[str], norms: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Products of every text's vector with every prototype, one row each, and if ``norms`` each text's sum of squared trigram counts."""
+        out, square = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
         padded = [f" {t} " for t in texts]
-        code = CODES[np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int64)
+        code = CODES[np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int32)
         of = np.repeat(np.arange(len(texts)), [len(t) for t in padded])
         if not len(code):
-            return out
+            return out, square
         keep = np.concatenate(([True], (code[1:] != 0) | (code[:-1] != 0)))
         code, of = code[keep], of[keep]
         mid = np.flatnonzero(code[1:-1] != 0) + 1
         if not len(mid):
-            return out
+            return out, square
         at, of = (code[mid - 1] * SIZE + code[mid]) * SIZE + code[mid + 1], of[mid]
         first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-        key, count = np.unique(of * CELLS + at, return_counts=True)
-        square = np.bincount(key // CELLS, weights=count.astype(np.float64) ** 2, minlength=len(texts))
         out[of[first]] = np.add.reduceat(self.table[at], first, axis=0)
-        return out / np.sqrt(np.maximum(square, 1.0) * DIMENSIONS)[:, None]
+        if norms:
+            key = np.sort(of.astype(np.int64) * CELLS + at)
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            square = np.bincount(key[start] // CELLS, weights=np.diff(np.append(start, len(key))).astype(float) ** 2, minlength=len(texts))
+        return out, square
+
+    def each(self, texts: list[str]) -> np.ndarray:
+        """:meth:`cosines` of every text at once, one row each."""
+        dots, square = self.sums(texts, norms=True)
+        return dots / np.sqrt(np.maximum(square, 1.0) * DIMENSIONS)[:, None]
 
     def nearest(self, text: str) -> str | None:
         """Language with the greatest cosine, for which the text's norm doesn't matter; null for a text without letters."""

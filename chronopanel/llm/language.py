@@ -9,14 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import hdlang, pages
-from . import pagelines as pl
-from .residue import find
+from . import hdlang, layout, pages
 
 #: Words that a paragraph needs to be given a language of its own, and by how much its cosine must exceed that of the page's language.
 PARAGRAPH_WORDS = 5
 MARGIN = 0.15
-SEGMENTS = f"{pages.KEY_SCHEMA}, text_language string, from_line int, to_line int, lang string, confidence double, words int, prose boolean"
+#: Cosine below which a text is in none of the languages. That of two unrelated texts is about one by the root of ``hdlang.DIMENSIONS``, 0.022.
+UNKNOWN = 0.07
+#: Pages with two equal labels on which profiles are fitted, about; more are thinned out by the hash of their key.
+FITTED_PAGES = 20_000
 
 
 def code(label: Column) -> Column:
@@ -25,16 +26,21 @@ def code(label: Column) -> Column:
     return F.when(part != "", part)
 
 
-def profiles(table: DataFrame, common_words: DataFrame) -> hdlang.Profiles:
-    """Prototypes of the languages of ``common_words``, bundled from every page whose two labels agree and from the common words.
+def profiles(table: DataFrame, common_words: DataFrame, fitted_pages: int = FITTED_PAGES) -> hdlang.Profiles:
+    """Prototypes of the languages of ``common_words``, bundled from about ``fitted_pages`` pages whose two labels agree and from the common words.
 
     Trigrams are counted where the text is; what comes to the driver is one count for each language and trigram of a fixed alphabet.
     Wrong labels that agree are outvoted by the bundle.
     """
     words = common_words.select("lang", "word").where(F.col("lang").isNotNull() & F.col("word").isNotNull()).distinct().toPandas()
     langs = sorted(set(words["lang"]))
-    labelled = pages.with_text(table).select(code(F.col("text_language")).alias("lang"), code(F.col("html_lang")).alias("other"), "extracted_text")
-    labelled = labelled.where((F.col("lang") == F.col("other")) & F.col("lang").isin(langs)).select("lang", "extracted_text")
+    both = table.withColumns({c: F.lit(None).cast("string") for c in ("text_language", "html_lang") if c not in table.columns})
+    lang = code(F.col("text_language"))
+    agreed = both.where((lang == code(F.col("html_lang"))) & lang.isin(langs))
+    share = min(1.0, fitted_pages / max(agreed.count(), 1))
+    if share < 1:
+        agreed = agreed.where(F.pmod(F.xxhash64(*pages.KEY), F.lit(1 << 20)) < int(share * (1 << 20)))
+    labelled = pages.with_text(agreed).select(code(F.col("text_language")).alias("lang"), "extracted_text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
@@ -56,52 +62,55 @@ def profiles(table: DataFrame, common_words: DataFrame) -> hdlang.Profiles:
     return hdlang.train(counts)
 
 
-def stretches(page: pl.Page, model: hdlang.Profiles) -> list[tuple[int, int, str, float, int]]:
-    """``(first line, last line, language, confidence, words)`` of the body's paragraphs, neighbours of one language joined.
+def stretches(no: np.ndarray, kind: np.ndarray, words: np.ndarray, body: np.ndarray, cosines: np.ndarray, langs: tuple[str, ...]) -> list[tuple[int, int, str, float, int]]:
+    """``(first line, last line, language, confidence, words)`` of a page's lines, numbered from 1, neighbours of one language joined.
 
-    A paragraph takes the page's language unless another one is nearer by ``MARGIN``. Confidence is the lead over the next language, by the
-    larger of the two cosines' sum, from 0 to 1.
+    Paragraphs of the body get languages of their own: a paragraph takes the page's language unless another one is nearer by ``MARGIN``. A page
+    without paragraphs is one stretch, by its body or, without one, by all its lines. A stretch that is near to no language is ``und``.
+    Confidence is the lead over the next language, by the sum of both cosines, from 0 to 1.
     """
-    at = [i for i, (x, b) in enumerate(zip(page.lines, page.body, strict=True)) if b and x.kind == "prose" and x.words >= PARAGRAPH_WORDS]
-    if not at or not model.langs:
+    if not len(no) or not langs:
         return []
-    cos = model.each([page.lines[i].text for i in at])
-    size = np.array([page.lines[i].words for i in at], dtype=np.float64)
+    at = np.flatnonzero(body & (kind == layout.CODE["prose"]) & (words >= PARAGRAPH_WORDS))
+    alone = not len(at)
+    if alone:
+        at = np.flatnonzero(body) if body.any() else np.arange(len(no))
+    cos, size = cosines[at].astype(float), words[at].astype(float)
+    if alone:
+        weight = np.sqrt(size)
+        cos, size, span = (weight @ cos / max(weight.sum(), 1e-9))[None, :], np.array([size.sum()]), [(int(no[at[0]]) + 1, int(no[at[-1]]) + 1)]
+    else:
+        span = [(int(n) + 1, int(n) + 1) for n in no[at]]
     main = int(np.argmax(size @ cos))
     out: list[tuple[int, int, str, float, int]] = []
-    for i, c, w in zip(at, cos, size, strict=True):
+    for (first, last), c, w in zip(span, cos, size, strict=True):
         best = int(np.argmax(c))
         k = best if c[best] - c[main] > MARGIN else main
         rest = np.delete(c, k).max() if len(c) > 1 else 0.0
         sure = float(np.clip((c[k] - rest) / max(abs(c[k]) + abs(rest), 1e-9), 0.0, 1.0))
-        lang = model.langs[k]
+        lang = langs[k] if c[k] >= UNKNOWN else "und"
         if out and out[-1][2] == lang:
             f, _, _, s, n = out[-1]
-            out[-1] = (f, i + 1, lang, (s * n + sure * w) / (n + w), n + int(w))
+            out[-1] = (f, last, lang, (s * n + sure * w) / (n + w), n + int(w))
         else:
-            out.append((i + 1, i + 1, lang, sure, int(w)))
+            out.append((first, last, lang, sure, int(w)))
     return out
 
 
-def segments(table: DataFrame, model: hdlang.Profiles) -> DataFrame:
-    """Stretches of one language of every page's body; ``prose``: the page is running prose (neither residue nor mostly list, table or junk)."""
+def prose() -> Column:
+    """Whether a labelled page is running prose: it has a body that is neither residue nor mostly lists, tables or junk."""
+    return (F.size("residue") == 0) & (F.col("body_words") > 0) & (2 * F.col("odd_words") <= F.col("body_words"))
 
-    def each(row, page: pl.Page):
-        got = stretches(page, model)
-        if got:
-            w = page.words
-            odd = w.get("list", 0) + w.get("table", 0) + w.get("junk", 0)
-            prose = 2 * odd <= sum(w.values()) and not find(page, row.extracted_text, row.document_title)
-            for first, last, lang, sure, words in got:
-                yield row.text_language, first, last, lang, sure, words, prose
 
-    return pages.labelled(table, each, SEGMENTS, ("text_language",))
+def segments(labelled: DataFrame) -> DataFrame:
+    """Page key, ``from_line``, ``to_line``, ``lang``, ``confidence``, ``words`` of every stretch of every page with text, and whether the page is running prose."""
+    return labelled.select(*pages.KEY, F.explode("segments").alias("s"), prose().alias("prose")).select(*pages.KEY, "s.*", "prose").distinct()
 
 
-def found(table: DataFrame, model: hdlang.Profiles) -> DataFrame:
-    """Page key and ``lang``: languages of pages of running prose whose label is missing, empty or another, or that hold several languages."""
-    keys = segments(table, model).where("prose").groupBy(*pages.KEY).agg(
-        F.collect_set("lang").alias("langs"), F.max_by("lang", "words").alias("main"), F.min(F.struct(code(F.col("text_language")).alias("c"))).alias("label")
-    )
-    wrong = F.col("label.c").isNull() | (F.size("langs") > 1) | ~F.array_contains("langs", F.col("label.c"))
-    return keys.where(wrong).select(*pages.KEY, F.explode("langs").alias("lang"))
+def found(labelled: DataFrame) -> DataFrame:
+    """Page key and ``lang``: languages of pages of running prose whose label is missing, empty or another, or that hold several languages.
+    Stretches in none of the known languages name none."""
+    langs = F.array_distinct(F.filter(F.col("segments.lang"), lambda x: x != "und"))
+    own = labelled.where(prose()).select(*pages.KEY, code(F.col("text_language")).alias("label"), langs.alias("langs"))
+    wrong = F.col("label").isNull() | (F.size("langs") > 1) | ~F.array_contains("langs", F.col("label"))
+    return own.where(wrong).select(*pages.KEY, F.explode("langs").alias("lang")).distinct()

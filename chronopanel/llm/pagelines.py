@@ -1,8 +1,9 @@
-"""One page as a sequence of lines: classes, body or chrome by minimum cut, residue, kind. Pure Python, no Spark.
+"""One line of a page and what it is by itself. Pure Python, no Spark.
 
-Line classes: ``prose`` (sentences), ``head`` (short text without end mark), ``list``, ``table``, ``junk`` (code, symbols, random words),
+Kinds: ``prose`` (sentences), ``head`` (short text without end mark), ``list``, ``table``, ``junk`` (code, symbols, random words),
 ``notice`` (error, maintenance, parking), ``filler``, ``script`` (script notice) and the kinds of chrome of :mod:`lexicon`
-(``menu``, ``trail``, ``teaser``, ``cookie``, ``share``, ...).
+(``menu``, ``trail``, ``teaser``, ``cookie``, ``share``, ...). The whole line is read, whatever its length, by the same rules: phrases
+are weighed sentence by sentence, counts of signs against the line's length. What a kind means for a page is decided in :mod:`layout`.
 """
 
 from __future__ import annotations
@@ -12,23 +13,23 @@ from functools import lru_cache
 from typing import NamedTuple
 
 from . import lexicon as lx
-from .mincut import label
 
-SPACES = re.compile(r"[ \t ]+")
+SPACES = re.compile(r"[\t\xa0 ]+")
 _SEP = re.compile(r"\s*[|¦>›»«/·•;]\s*|\t+|[ \xa0]{2,}| - ")
-_SEPARATED = re.compile(r"[|¦>›»«/·•;\t]|[ \xa0]{2}| - ")
-_TRAIL = re.compile("|".join(f"^{x}" for x in lx.fragments(lx.TRAIL)))
+_SEPARATORS = frozenset("|¦>›»«/·•;\t")
+_TRAIL = tuple(lx.fragments(lx.TRAIL))
 _FIND = lx.automaton({"filler": lx.FILLER, "script": lx.SCRIPT, "notice": lx.NOTICE, **lx.PROMPTS})
 _NOTICE_START = tuple(lx.fragments(lx.NOTICE))
-_FIND_FILLER = lx.automaton({"filler": lx.FILLER})
 _MENU_START = frozenset(lx.skeleton(x.split(" ")[0]) for words in lx.MENU.values() for x in words.split(";"))
 _WHOLE = frozenset(lx.fragments(lx.WHOLE))
 _TEASERS = frozenset(lx.fragments(lx.TEASERS))
-_MORE = re.compile("(?:" + "|".join(lx.fragments(lx.MORE)) + ")$")
+_MORE = tuple(lx.fragments(lx.MORE))
 _RAW = re.compile(lx.RAW, re.I)
 _ON_LINE = re.compile(r"\bon line \d+$")
-_YEARS = re.compile(r"^(?:\(c\)|copyright)?\D{1,8}(?:19|20)\d\d\D{1,9}(?:19|20)\d\d\D|^(?:©|\(c\)|copyright)\W{0,3}(?:19|20)?\d\d", re.I)
-_PHONE = re.compile(r"^[^\d]{2,16}[\d /()+.\- –]{6,24}$")
+_RIGHTS = re.compile(r"^(?:©|\(c\)|copyright)\W{0,3}(?:19|20)?\d\d|^(?:\(c\)|copyright|©)\D{1,8}(?:19|20)\d\d", re.I)
+_YEARS = re.compile(r"^\D{1,8}(?:19|20)\d\d\D{1,9}(?:19|20)\d\d\D")
+_SIGN_YEARS = re.compile(r"^[^\d ]{0,3}[^\w ] ?(?:19|20)\d\d[^\s\da-z]{1,6}(?:19|20)\d\d ")
+_PHONE = re.compile(r"^[^\d]{2,16}[\d /()+.\- –]{6,24}$")
 _PHONE_KEYS = frozenset("tel tl phone telefon telefono telfono fax tlphone telefoon fon mobil mobile t".split())
 _ADDRESS = re.compile(r",\s[^,]{2,60}\s\d{1,4}\s?[a-z]?,\s\d{4,5}\s\S")
 _DATED = re.compile(r"^\d\d?\.\d\d?\.\d{4}\s\S")
@@ -42,28 +43,22 @@ _ODD_SEP = re.compile(r"\s[^\x00-\x7f\w]?[^\x00-\x7f]{1,3}\s")
 _CREDIT = re.compile(r"^[^\W\d]\S*(?: \S+){0,2} ?: [^,.]{3,60}$")
 _PLACE_ITEM = re.compile(r"^[^\s,][^,.!?]{2,40}, \S[^,.!?]{4,50}$")
 _SLOGAN = re.compile(r"^[^\W\d_][^\s.:–!?,]*(?: [^\s.:–!?,]+){1,2}(?:\.|:| –) [^\W\d_][^\s.:–!?,]*(?: [^\s.:–!?,]+){1,2}\.?$")
-_CODELIKE = re.compile(r"(?:function\s*\(|\bvar \w+\s*=|;\}|\)\s*\{|=>|\breturn\b.*;|</?\w+[^>]*>|\w+\(\w*\);)")
-_END = re.compile(r"[.!?…;:][\"”“»’')\]]*(?: \([^)]*\)\.?)?$")
+_CODELIKE = re.compile(r"function\s*\(|\bvar \w+\s*=|;\}|\)\s*\{|=>|\breturn\b[^;]*;|</?\w+[^<>]*>|\w\(\w*\);")
+_CODE_SIGN = re.compile(r"[;{}=<>]")
 _WORD = re.compile(r"[^\W_]+")
 _DIGIT = re.compile(r"\d")
 _MIXED = re.compile(r"^(?=\w*\d)(?=\w*[a-z])\w+$")
-
-CHROME = frozenset(("menu", "trail", "teaser", "dated", "script", "slogan", "footer", "phone", "address", *lx.PROMPTS))
-
-#: Log-odds-like weight of a class in favour of chrome (> 0) or body (< 0).
-WEIGHT = {
-    "menu": 6.0, "trail": 8.0, "teaser": 6.0, "dated": 5.5, "script": 6.0, "slogan": 4.0, "footer": 9.0, "phone": 8.0, "address": 7.0,
-    "cookie": 7.0, "share": 7.0, "letter": 7.0, "print": 7.0, "site": 7.0, "toolbar": 8.0, "change": 8.0, "credit": 7.0,
-    "prose": -6.0, "head": -2.1, "list": -5.0, "table": -6.0, "junk": -5.0, "notice": -6.0, "filler": -6.0,
-}
-#: Added for a line that stands on several addresses of its site, by class of line. Lists and tables repeat for their own reasons.
-REPEATED = {"prose": 12.0, "head": 6.0, "slogan": 4.0, "list": 1.0, "table": 0.0, "junk": 0.0, "notice": 0.0, "filler": 0.0}
-#: Smoothness: neighbours, neighbours of one class, neighbours across an empty line, next but one.
-NEXT, SAME, GAP, SKIP = 0.8, 2.0, 0.3, 0.2
-#: Prompts known by a part of the line; the others must fill most of it.
+_SENTENCE = re.compile(r"(?<=[.!?]) ")
+_ODD_CHAR = re.compile(r"[^\w\s]|_")
+
+#: Kinds in the order of their codes; code 0 is an empty line.
+KINDS = (
+    "", "prose", "head", "list", "table", "junk", "notice", "filler", "script", "menu", "trail", "teaser", "dated", "slogan", "footer", "phone", "address",
+    *lx.PROMPTS,
+)
+CODE = {k: i for i, k in enumerate(KINDS)}
+#: Prompts known by a part of the sentence; the others must fill most of it.
 _SURE = frozenset(("change", "toolbar", "cookie", "letter", "credit", "site", "share"))
-#: Words that a body needs beside a notice to count as content of its own.
-REAL_WORDS = 5
 
 
 class Line(NamedTuple):
@@ -76,19 +71,19 @@ class Line(NamedTuple):
 
 def tidy(line: str) -> str:
     """No-break spaces and tabs as spaces, runs of spaces as one, trimmed."""
-    line = line.replace("\t", " ").replace("\xa0", " ")
-    return (SPACES.sub(" ", line) if "  " in line else line).strip(" ")
+    if "\t" in line or "\xa0" in line or "  " in line:
+        line = SPACES.sub(" ", line)
+    return line.strip(" ")
 
 
-def _menu(raw: str, text: str) -> bool:
-    if lx.skeleton(text) in lx.MENU_KEYS:
-        return len(text) < 40
-    if _SEPARATED.search(raw):
+def _menu(raw: str, text: str, sk: str, words: list[str]) -> bool:
+    if sk in lx.MENU_KEYS:
+        return len(text) < 2 * len(sk) + 12
+    if not _SEPARATORS.isdisjoint(raw) or " - " in raw or "  " in raw or "\xa0" in raw:
         parts = [p for p in map(lx.skeleton, _SEP.split(raw.strip())) if p]
         if len(parts) >= 2 and sum(p in lx.MENU_KEYS for p in parts) >= 0.6 * len(parts):
             return True
-    words = text.split(" ")
-    if lx.skeleton(words[0]) in _MENU_START and 3 <= len(words) <= 40 and text[-1:] not in ".!?":  # labels with nothing but single spaces between them
+    if len(words) >= 3 and text[-1] not in ".!?" and lx.skeleton(words[0]) in _MENU_START:  # labels with nothing but single spaces between them
         i = hit = 0
         while i < len(words):
             for k in (3, 2, 1):
@@ -102,16 +97,22 @@ def _menu(raw: str, text: str) -> bool:
 
 
 def _table(raw: str) -> bool:
+    own = raw.strip()
     for sep in ("\t", " ¦ ", " | ", ";", "   ", "  ", " ; "):
         if sep in raw:
-            cells = [c.strip() for c in raw.strip().split(sep) if c.strip()]
+            cells = [c.strip() for c in own.split(sep) if c.strip()]
             if len(cells) >= 3 and (sum(bool(_CELL.match(c)) for c in cells[1:]) >= 0.6 * (len(cells) - 1) or all(_UNIT.search(c) and len(c) < 40 for c in cells[1:]) and len(cells[0]) < 20):
                 return True
-    cells = [c for c in _ODD_SEP.split(raw.strip()) if c]
-    if len(cells) >= 3 and sum(bool(_CELL.match(c)) for c in cells[1:]) >= 0.6 * (len(cells) - 1):
-        return True
+    if not own.isascii():
+        cells = [c for c in _ODD_SEP.split(own) if c]
+        if len(cells) >= 3 and sum(bool(_CELL.match(c)) for c in cells[1:]) >= 0.6 * (len(cells) - 1):
+            return True
     words = raw.split()
-    return len(words) >= 5 and sum(w == "-" or w[0].isdigit() for w in words) >= 0.4 * len(words) and raw.strip()[-1:] not in ".!?"
+    return len(words) >= 5 and own[-1:] not in ".!?" and sum(w == "-" or w[0].isdigit() for w in words) >= 0.4 * len(words) and not _random(words)
+
+
+def _random(words: list[str]) -> bool:
+    return sum(1 for w in words if _MIXED.match(w)) >= 0.4 * len(words)
 
 
 def _mash(low: str) -> bool:
@@ -135,7 +136,7 @@ def has_lorem(words: list[str], low: list[str]) -> bool:
     """
     if len(words) <= WINDOW:
         return is_lorem(words)
-    if sum(w[:5] in _MASH_STARTS or w[:3] == "jkl" or w[:2] == "xx" for w in low[::2]) < 2:
+    if len([1 for w in low[::2] if w[:5] in _MASH_STARTS or w[:3] == "jkl" or w[:2] == "xx"]) < 2:
         return False
     hits = [_mash(w) for w in low]
     now = sum(hits[:WINDOW])
@@ -146,165 +147,124 @@ def has_lorem(words: list[str], low: list[str]) -> bool:
     return False
 
 
-@lru_cache(maxsize=200_000)
+def ends_sentence(text: str) -> bool:
+    """Whether a line ends in an end mark, closing quotes and one bracketed remark after it aside."""
+    own = text[:-1] if text.endswith(").") else text
+    if own.endswith(")") and (at := own.rfind(" (")) > 0 and own[:at].rstrip("\"”“»’')]")[-1:] in tuple(".!?…;:"):
+        return True
+    return text.rstrip("\"”“»’')]")[-1:] in tuple(".!?…;:")
+
+
+def _phrases(text: str) -> str:
+    """Kind of a line by the phrases that its sentences hold, ``''`` for none.
+
+    Filler counts anywhere. A line is a notice if it opens with one and the rest isn't over twice as long, and a script notice or a prompt if
+    sentences of that kind hold at least a third of its words. What follows the last end mark doesn't count against them.
+    """
+    parts = _SENTENCE.split(text)
+    size: dict[str, int] = {}
+    total = 0
+    for k, s in enumerate(parts):
+        sk = lx.skeleton(s)
+        nw = s.count(" ") + 1
+        total += nw if not k or s[-1:] in ".!?" else 0
+        hits = [(end + 1 - size_, kind, size_) for end, (kind, size_) in _FIND.iter(sk)]
+        own = ""
+        for start, kind, part in hits:
+            if kind == "filler":
+                return kind
+            if kind == "script" and len(sk) < max(2.5 * part + 30, 8 * part) or kind == "notice" and (start <= 12 and part > 0.25 * len(sk) or start <= 2):
+                own = kind
+                break
+        if not own:
+            for _, kind, part in sorted(hits, key=lambda x: -x[2]):
+                if kind in lx.PROMPTS and (part > 0.6 * len(sk) or kind in _SURE and part > 0.15 * len(sk) or nw <= 6):
+                    own = kind
+                    break
+        if own and (own != "notice" or not k or "notice" in size):
+            size[own] = size.get(own, 0) + nw
+    if 3 * size.get("notice", 0) >= total:
+        return "notice"
+    best = max(size, key=lambda x: size[x], default="")
+    return best if best and best != "notice" and 3 * size[best] >= total else ""
+
+
 def classify(raw: str) -> Line:
-    """Class of one line by itself. Any text is accepted; an empty line has class ``''``."""
+    """Kind of one line by itself. Any text is accepted; an empty line has kind ``''``."""
+    return _remembered(raw) if len(raw) < 200 else _classify(raw)
+
+
+def _classify(raw: str) -> Line:
     text = tidy(raw)
     if not text:
         return Line("", "", 0)
-    n = len(text)
-    if n > 1000 and text.count(" ") < n / 200:
-        return Line(text, "junk", text.count(" ") + 1)  # no language writes words of hundreds of letters
-    return _long(raw, text) if n > 110 and text.count(" ") > 9 else _short(raw, text)
+    words = text.split(" ")
+    nw = len(words)
+    return Line(text, _kind(raw, text, words, nw), nw)
 
 
-def _long(raw: str, text: str) -> Line:
-    """Paragraphs, and what is as long without being one. Cheap counts send ordinary sentences through."""
-    words = text.split(" ")
-    nw, head = len(words), lx.skeleton(text[:80])
-    line = lambda k: Line(text, k, nw)
-    if head.startswith(_NOTICE_START) and (";" in text or len(text) < 150) or _RAW.match(text):
-        return line("notice")
-    if _TRAIL.match(head):
-        return line("trail")
-    letters = lx.skeleton(text)
-    if next(_FIND_FILLER.iter(letters), None) or has_lorem(words, text.lower().split(" ")):
-        return line("filler")
-    marks = sum(map(text.count, "|¦>›»/·;=<{")) + raw.count("\t") + raw.count("  ")
-    if marks > 2 or text[-1] not in ".!?“”\")’":
-        if _menu(raw, text):
-            return line("menu")
-        if _YEARS.match(text) and len(text) < 220:
-            return line("footer")
-        if marks > 2 and (_CODELIKE.search(text) or text.count(";") > 0.3 * nw):
-            return line("junk")
-        if marks > 2 and _table(raw):
-            return line("table")
-    if nw > 6 and text.count(",") >= 0.3 * nw:
-        return line("list")
-    if len(letters) < 0.5 * len(text) and sum(map(str.isalpha, text)) < 0.5 * len(text):
-        return line("junk")
-    if len(_DIGIT.findall(text)) > 0.4 * nw and sum(1 for w in words if _MIXED.match(w)) > 0.4 * nw:
-        return line("junk")
-    return line("prose")
+_remembered = lru_cache(maxsize=100_000)(_classify)
 
 
-def _short(raw: str, text: str) -> Line:
-    n, words = len(text), text.split(" ")
-    nw = len(words)
+def _kind(raw: str, text: str, words: list[str], nw: int) -> str:
+    n = len(text)
     sk = lx.skeleton(text)
-    line = lambda k: Line(text, k, nw)
-    if _menu(raw, text):
-        return line("menu")
-    if _YEARS.match(text):
-        return line("footer")
-    if sk in _PHONE_KEYS and _PHONE.match(text) and sum(map(str.isdigit, text)) >= 6:
-        return line("phone")
+    signs = len(_CODE_SIGN.findall(text))
+    sentence = nw >= 5 and text[-1] in ".!?“”\")’"
+    if sk.startswith(_NOTICE_START) and _phrases(text) == "notice":
+        return "notice"
+    if _menu(raw, text, sk, words):
+        return "menu"
+    if _RIGHTS.match(text) or _SIGN_YEARS.match(text) or not sentence and _YEARS.match(text):
+        return "footer"
+    if sk in _PHONE_KEYS and _PHONE.match(text) and len(_DIGIT.findall(text)) >= 6:
+        return "phone"
     if sk in _TEASERS:
-        return line("teaser")
+        return "teaser"
     if sk in _WHOLE:
-        return line("share")
-    if _TRAIL.match(sk):
-        return line("trail")
-    if text[0].isdigit() and _DATED.match(text):
-        return line("dated")
-    if _RAW.match(text) or _ON_LINE.search(text[-16:]):
-        return line("notice")
-    found = [(end, kind, size) for end, (kind, size) in _FIND.iter(sk)]
-    for end, kind, size in found:
-        start = end + 1 - size
-        if kind == "script" and len(sk) < 2.5 * size + 30 or kind == "notice" and (start <= 12 and size > 0.25 * len(sk) or start <= 2) or kind == "filler":
-            return line(kind)
-    if is_lorem(_WORD.findall(text)):
-        return line("filler")
-    if "," in text and _ADDRESS.search(text):
-        return line("address")
-    for _, kind, size in sorted(found, key=lambda x: -x[2]):
-        if kind in lx.PROMPTS and n < 125 and (size > 0.6 * len(sk) or kind in _SURE and size > 0.15 * len(sk) or nw <= 6):
-            return line(kind)
-    if _table(raw):
-        return line("table")
+        return "share"
+    if sk.startswith(_TRAIL):
+        return "trail"
+    if text[0].isdigit() and _DATED.match(text) and not _SENTENCE.search(text, 11):
+        return "dated"
+    if _RAW.match(text) or text[-1].isdigit() and _ON_LINE.search(text):
+        return "notice"
+    if next(_FIND.iter(sk), None) and (got := _phrases(text)):
+        return got
+    if nw > WINDOW:
+        if has_lorem(words, text.lower().split(" ")):
+            return "filler"
+    elif is_lorem(_WORD.findall(text)):
+        return "filler"
+    if "," in text and (m := _ADDRESS.search(text)) and 3 * (m.end() - m.start()) >= n:
+        return "address"
+    if not sentence or signs > 2 or "|" in raw or "\t" in raw or "  " in raw:
+        if _table(raw):
+            return "table"
+        if signs > 2 and text.count(";") > 0.3 * nw and 8 * len(_CODELIKE.findall(text)) >= nw:
+            return "junk"
     if _BULLET.match(text):
-        return line("list")
-    if _MORE.search(sk):
-        return line("dated")
+        return "list"
+    if sk.endswith(_MORE):
+        return "dated"
     if " · " in text and _LEGAL.search(text):
-        return line("slogan")
+        return "slogan"
     if ":" in text and _LEGAL.search(text) and _CREDIT.match(text):
-        return line("credit")
-    if sum(c.isalnum() or c.isspace() for c in text) < 0.7 * n or _CODELIKE.search(text):
-        return line("junk")
-    if nw >= 3 and sum(1 for w in words if _MIXED.match(w)) >= 0.4 * nw:
-        return line("junk")
-    if _SLOGAN.match(text):
-        return line("slogan")
+        return "credit"
+    if len(sk) + nw < 0.7 * n and n - len(_ODD_CHAR.findall(text)) < 0.7 * n:
+        return "junk"
+    if signs and 8 * len(_CODELIKE.findall(text)) >= nw:
+        return "junk"
+    if len(sk) < 0.5 * n and 2 * sum(map(str.isalpha, text)) < n and nw > 9:
+        return "junk"
+    if nw >= 3 and n - len(sk) - nw + 1 >= 0.4 * nw and len(_DIGIT.findall(text)) >= 0.4 * nw and _random(words):
+        return "junk"
+    if nw <= 7 and _SLOGAN.match(text):
+        return "slogan"
     if nw <= 6 and _CODE_END.search(text) or nw <= 9 and _EXTENSION.match(text):
-        return line("list")
+        return "list"
     if nw <= 7 and _PLACE_ITEM.match(text):
-        return line("list")
+        return "list"
     if nw > 6 and text.count(",") >= 0.3 * nw:
-        return line("list")
-    if nw >= 5 and (_END.search(text) or n > 90):
-        return line("prose")
-    return line("head")
-
-
-class Page(NamedTuple):
-    """Lines in order, one label each (True: body; None: empty line) and what follows from them."""
-
-    lines: list[Line]
-    body: list[bool | None]
-    words: dict[str, int]  # words of body lines by class
-    notice_only: bool
-    chrome_only: bool
-
-
-def split_page(text: str | None, titles: tuple[str | None, ...] = (), repeated: frozenset[int] | set[int] = frozenset()) -> Page:
-    """Label every line of ``text`` as body or chrome.
-
-    ``titles``: title and first heading of the page, which mark its own headings. ``repeated``: numbers (from 1) of lines that stand on
-    several addresses of the site. Null or empty text gives no lines. A page whose only content is a notice, filler or script notice keeps
-    that as its body.
-    """
-    raw = (text or "").split("\n")
-    lines = [classify(x) for x in raw]
-    at = [i for i, x in enumerate(lines) if x.kind]
-    own = {tidy(x) for x in titles if x}
-    chrome, body, edges = [], [], []
-    last = -1
-    for k, i in enumerate(at):
-        x = lines[i]
-        w = WEIGHT[x.kind]
-        if i + 1 in repeated:
-            w += REPEATED.get(x.kind, 2.0)
-        if own and x.kind in ("head", "slogan", "prose") and any(x.text == t or (x.words >= 3 and t.startswith(x.text)) for t in own):
-            w -= 9.0
-        chrome.append(max(-w, 0.0))
-        body.append(max(w, 0.0))
-        if k:
-            gap = i - last > 1
-            edges.append((k - 1, k, GAP if gap else SAME if lines[last].kind == x.kind else NEXT))
-            if k > 1:
-                edges.append((k - 2, k, SKIP))
-        last = i
-    cut = label(body, chrome, edges)  # label 1: chrome
-    mark: list[bool | None] = [None] * len(lines)
-    for k, i in enumerate(at):
-        mark[i] = not cut[k]
-    words: dict[str, int] = {}
-    for i in at:
-        if mark[i]:
-            words[lines[i].kind] = words.get(lines[i].kind, 0) + lines[i].words
-    odd = [i for i in at if lines[i].kind in ("notice", "script", "filler")]
-    real = sum(n for k, n in words.items() if k not in ("notice", "filler", "script", "head"))
-    notice_only = bool(odd) and real < REAL_WORDS
-    if odd:
-        only_filler = any(lines[i].kind == "filler" for i in odd)
-        for i in odd:
-            keep = lines[i].kind == "filler" or notice_only and not (lines[i].kind == "script" and only_filler)
-            mark[i] = keep
-            if keep and lines[i].kind == "script":
-                words["script"] = words.get("script", 0) + lines[i].words
-            elif not keep and lines[i].kind == "notice":
-                words.pop("notice", None)
-    return Page(lines, mark, words, notice_only and not any(lines[i].kind == "filler" for i in odd), not any(words.values()))
+        return "list"
+    return "prose" if nw >= 5 and (n > 90 or ends_sentence(text)) else "head"

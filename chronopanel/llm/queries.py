@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, language, leak, lines, pack, pages, quality, residue, spans
+from . import bodies, encoding, language, leak, lines, pack, pages, quality, residue, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,32 +24,25 @@ def p1_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p2_residue(spark, sf).select(*pages.KEY).distinct()
+    return residue.found(pages.prepared(_t(spark, sf, "pages"), marks=True, or_title=True))
 
 
 def p2_residue(spark: SparkSession, sf: str) -> DataFrame:
-    def each(row, page):
-        for x in residue.find(page, row.extracted_text, row.document_title):
-            yield x.kind, x.piece
-
-    return pages.labelled(_t(spark, sf, "pages"), each, f"{pages.KEY_SCHEMA}, kind string, piece string", or_title=True).distinct()
+    return residue.pieces(pages.prepared(_t(spark, sf, "pages"), marks=True, or_title=True))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    def each(row, page):
-        for i, body in enumerate(page.body):
-            if body is False:
-                yield (i + 1,)
-
-    return pages.labelled(_t(spark, sf, "pages"), each, f"{pages.KEY_SCHEMA}, line_no int").distinct()
+    return bodies.found(pages.prepared(_t(spark, sf, "pages")))
 
 
 def p3_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    def each(row, page):
-        own = "\n".join(x for x, b in zip((row.extracted_text or "").split("\n"), page.body, strict=True) if b)
-        yield own, round(1 - len(own) / max(len(row.extracted_text), 1), 3)
+    table = _t(spark, sf, "pages")
+    return bodies.bodies(table, pages.prepared(table))
+
 
-    return pages.labelled(_t(spark, sf, "pages"), each, f"{pages.KEY_SCHEMA}, body string, boilerplate_ratio double").distinct()
+def _labelled(spark: SparkSession, sf: str, **options: bool) -> DataFrame:
+    table, words = _t(spark, sf, "pages"), _t(spark, sf, "common_words")
+    return pages.prepared(table, language.profiles(table, words), words if not options.get("languages") else None, marks=True, **options)
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,18 +50,15 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    table, words = _t(spark, sf, "pages"), _t(spark, sf, "common_words")
-    return quality.assessed(table, language.profiles(table, words), words)
+    return quality.assessed(_labelled(spark, sf))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    table = _t(spark, sf, "pages")
-    return language.found(table, language.profiles(table, _t(spark, sf, "common_words")))
+    return language.found(_labelled(spark, sf, languages=True))
 
 
 def p6_segments(spark: SparkSession, sf: str) -> DataFrame:
-    table = _t(spark, sf, "pages")
-    return language.segments(table, language.profiles(table, _t(spark, sf, "common_words"))).drop("text_language").distinct()
+    return language.segments(_labelled(spark, sf, languages=True))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:

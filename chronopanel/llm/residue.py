@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
-from typing import NamedTuple
+from typing import TYPE_CHECKING, NamedTuple
 
 from . import lexicon as lx
-from .pagelines import Page
+
+if TYPE_CHECKING:
+    from pyspark.sql import DataFrame
+
+    from .layout import Page
 
 _NAME = r"[A-Za-z_][\w.\- ]{0,40}?"
 #: One grammar for each kind of delimiter; group 1 is the name of the slot.
@@ -55,7 +59,7 @@ def slots(text: str | None) -> list[tuple[str, str, int]]:
     out = []
     taken: set[int] = set()
     for kind, m in ((k, m) for k, sign in _SIGNS.items() if sign in text for m in _EACH[k].finditer(text)):
-        if m.start() in taken or m.end() in taken:
+        if not taken.isdisjoint(range(m.start(), m.end())):
             continue
         inner = _INNER.search(m.group().replace("&lt;", "").replace("&gt;", "").replace("<?php", "").replace("echo", ""))
         name = inner.group() if inner else ""
@@ -68,7 +72,7 @@ def slots(text: str | None) -> list[tuple[str, str, int]]:
                 continue
             if not name or kind in ("tag", "mustache", "hash", "dollar", "smarty", "at", "marker", "asp", "wiki") and len(name) < 2:
                 continue
-        taken.update(range(m.start(), m.end() + 1))
+        taken.update(range(m.start(), m.end()))
         out.append((kind, name, m.start()))
     return sorted(out, key=lambda x: x[2])
 
@@ -84,21 +88,42 @@ def quoted(text: str, found: list[tuple[str, str, int]]) -> list[tuple[str, str,
         if TUTORIAL.search(around):
             continue
         rest = line.replace(" ", "")
-        inside = sum(len(n) + 6 for _, n, p in found if start <= p < start + len(line))
-        if len(rest) - inside > 40 and len(_CODE.findall(line)) - 6 * len(found) > CODE_DENSITY * len(rest):
+        here = [n for _, n, p in found if start <= p < start + len(line)]
+        inside = sum(len(n) + 6 for n in here)
+        if len(rest) - inside > 40 and len(_CODE.findall(line)) - 6 * len(here) > CODE_DENSITY * len(rest):
             continue
         keep.append((kind, name, at))
     return keep
 
 
-def find(page: Page, text: str | None, title: str | None) -> list[Residue]:
-    """All residue of a page, ``[]`` for none. Null text and title give ``[]``."""
+def marks(text: str | None, title: str | None) -> list[Residue]:
+    """Placeholders of text and title, and a default title; what a page's lines don't need to be labelled for."""
     out = [Residue("placeholder", f"{k}:{n}") for part in (title, text) if part for k, n, _ in quoted(part, slots(part))]
     if title and _TITLE.fullmatch(title.strip()):
         out.append(Residue("title", title.strip()))
-    for x in page.lines:
-        if x.kind == "filler":
-            out.append(Residue("filler", x.text[:60]))
+    return out
+
+
+def find(page: Page, text: str | None, title: str | None) -> list[Residue]:
+    """All residue of a page, ``[]`` for none. Null text and title give ``[]``."""
+    out = marks(text, title)
+    out += [Residue("filler", x.text) for x in page.lines if x.kind == "filler"]
     if page.notice_only:
-        out += [Residue("notice", x.text[:60]) for x, b in zip(page.lines, page.body, strict=True) if b and x.kind in ("notice", "script")]
+        out += [Residue("notice", x.text) for x, b in zip(page.lines, page.body, strict=True) if b and x.kind in ("notice", "script")]
     return out
+
+
+def pieces(labelled: DataFrame) -> DataFrame:
+    """Page key, ``kind`` and ``piece`` of all residue of every labelled page, once."""
+    from pyspark.sql import functions as F
+
+    from .pages import KEY
+
+    return labelled.select(*KEY, F.explode("residue").alias("r")).select(*KEY, "r.kind", "r.piece").distinct()
+
+
+def found(labelled: DataFrame) -> DataFrame:
+    """Keys of pages with residue, once."""
+    from .pages import KEY
+
+    return pieces(labelled).select(*KEY).distinct()

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from chronopanel.llm import encoding, hdlang, leak, mincut, pack, residue, spans
+from chronopanel.llm import encoding, hdlang, layout, leak, mincut, pack, pages, residue, spans
 from chronopanel.llm import pagelines as pl
 
 
@@ -40,34 +40,34 @@ Muster GmbH, Hauptstraße 12, 12345 Musterstadt
 
 
 def test_page_body_is_kept_and_chrome_dropped():
-    page = pl.split_page(PAGE, ("Neue Pressen | Muster GmbH",))
+    page = layout.split_page(PAGE, ("Neue Pressen | Muster GmbH",))
     body = [x.text for x, b in zip(page.lines, page.body, strict=True) if b]
     assert body == ["Neue Pressen", "Unsere neuen Pressen arbeiten seit dem Frühjahr im Werk, weil die alten Maschinen zu langsam waren.", "Typ | Gewicht kg | Leistung kW", "AB-12 | 12,5 kg | 3,4 kW"]
-    assert page.body[4] is None and not page.notice_only and not page.chrome_only
+    assert page.body[4] is None and not page.notice_only
 
 
 def test_repeated_sentence_is_chrome_and_damaged_menu_is_still_known():
     text = "HÃ¤ndlersuche\nWir liefern seit 1950 in alle Länder.\nDie Familie führt das Haus heute in der dritten Generation mit großer Sorgfalt."
-    page = pl.split_page(text, (), {2})
+    page = layout.split_page(text, (), {2: 8})
     assert page.body == [False, False, True]
 
 
 @pytest.mark.parametrize("text", [None, "", "\n\n", " \t "])
 def test_empty_pages(text):
-    page = pl.split_page(text)
-    assert not any(page.body) and page.chrome_only and not page.notice_only
+    page = layout.split_page(text)
+    assert not any(page.body) and not page.notice_only
     assert residue.find(page, text, None) == []
 
 
 def test_very_long_lines_and_odd_characters():
-    page = pl.split_page("x" * 300_000 + "\n" + "\ud800 \x00 ￿" + "\n" + "wort " * 60_000)
+    page = layout.split_page("x" * 300_000 + "\n" + "\ud800 \x00 ￿" + "\n" + "wort " * 60_000)
     assert len(page.lines) == 3
 
 
 @pytest.mark.parametrize("slot", ["{{name}}", "${ort}", "<%= first_name %>", "<?php echo $Ihr Name; ?>", "[[author]]", "###jahr###", "@@ort@@", "%firma%", "[company_name]", "__ORT__", "{% title %}", "#{author}", "{$ort}", "&lt;jahr&gt;"])
 def test_placeholders(slot):
     text = f"Wir sind seit Jahren in {slot} zu Hause und fertigen dort mit Sorgfalt."
-    assert residue.find(pl.split_page(text), text, None)
+    assert residue.find(layout.split_page(text), text, None)
 
 
 @pytest.mark.parametrize("text", ["Die Platten tragen viel (Satz {A}, und).", "Neue Halle [mehr erfahren]", "Das gilt auch weiter (Teil [3], ost).", "Der Anteil stieg um 12 % auf 40 % im Jahr.", "var f=function(x){return p[12]||3;};if(x>5){f();}"])
@@ -77,13 +77,13 @@ def test_no_placeholders(text):
 
 def test_notices_filler_and_titles():
     notice = "Startseite | Kontakt | Impressum\nWegen Wartungsarbeiten ist unser Angebot vorübergehend nicht erreichbar."
-    page = pl.split_page(notice)
+    page = layout.split_page(notice)
     assert page.notice_only and page.body == [False, True]
     real = PAGE + "\nBitte aktivieren Sie JavaScript in Ihrem Browser, um diese Seite anzuzeigen."
-    page = pl.split_page(real)
+    page = layout.split_page(real)
     assert not page.notice_only and page.body[-1] is False and not residue.find(page, real, None)
-    assert residue.find(pl.split_page("Magnum incidi duisaut voluptas mollit pariat repreh occaec."), "x", None)
-    assert residue.find(pl.split_page(PAGE), PAGE, "Unbenanntes Dokument")[0].kind == "title"
+    assert residue.find(layout.split_page("Magnum incidi duisaut voluptas mollit pariat repreh occaec."), "x", None)
+    assert residue.find(layout.split_page(PAGE), PAGE, "Unbenanntes Dokument")[0].kind == "title"
 
 
 @pytest.mark.parametrize("channel", range(len(encoding.CHANNELS)))
@@ -180,3 +180,75 @@ def test_mash_windows_equal_brute_force():
         words = [rng.choice(("asdf", "Dolore", "jklm", "xx", "Werk", "die", "Dolor")) if rng.random() < 0.8 else "der" for _ in range(rng.randint(0, 40))]
         brute = any(pl.is_lorem(words[i : i + pl.WINDOW]) for i in range(max(1, len(words) - pl.WINDOW + 1)))
         assert pl.has_lorem(words, [w.lower() for w in words]) == brute
+
+
+@pytest.mark.parametrize(
+    ("kind", "text"),
+    [
+        ("cookie", "Diese Website verwendet Cookies, um Ihnen den bestmöglichen Besuch zu bieten. Mit der weiteren Nutzung unserer Seiten stimmen Sie der Speicherung von Cookies zu."),
+        ("script", "Bitte aktivieren Sie JavaScript in den Einstellungen Ihres Browsers, damit Sie alle Funktionen unseres Angebots in vollem Umfang und ohne Fehler nutzen können."),
+        ("notice", "The page you requested does not exist any more, or it has been moved to another address by the owner of this site. Please use our search to find it again."),
+        ("footer", "© 2001–2014 Muster Maschinen und Anlagen GmbH & Co. KG. All rights reserved, also for extracts, pictures and translations of any kind that are taken from these pages."),
+        ("site", "All rights reserved, also for extracts, pictures and translations. All prices plus VAT, as stated in our general terms of sale that you find on the page on orders."),
+    ],
+)
+def test_long_furniture_is_known(kind, text):
+    assert len(text) > 150 and pl.classify(text).kind == kind
+
+
+def test_prose_that_mentions_furniture_stays_prose():
+    text = "Die neue Anlage läuft seit Mai im Werk. Die Leitung hat sie selbst geplant und mit den Kunden lange besprochen. Seit Juni verwendet Cookies nur noch, wer sie für die Bestellung braucht. Alle anderen Dienste kommen ohne sie aus."
+    assert pl.classify(text).kind == "prose"
+
+
+def test_the_cut_overrules_weak_lines():
+    text = "Unsere Pressen laufen seit Jahren ohne Störung im alten Werk.\nNeue Wege\nDie Halle wurde im Mai gebaut und im Juni von der Familie eröffnet."
+    costs = layout.prior()._replace(place=np.array([0, 0, 0, 0, 0, 0.0]), kind=np.where(np.array(layout.KINDS) == "head", 1.0, layout.KIND_VOTES))
+    lines = lambda c: layout.split_page(text, (), None, c).body
+    assert lines(costs._replace(edges=np.zeros(3))) == [True, False, True] and lines(costs) == [True, True, True]
+
+
+def test_fitted_costs_follow_the_votes_and_learn_places():
+    rng = np.random.default_rng(1)
+    n, per = 4000, 8
+    of, no = np.repeat(np.arange(n // per), per), np.tile(np.arange(per), n // per)
+    top = (no == 0) | (no == per - 1)
+    kind = np.where(top, layout.CODE["menu"], layout.CODE["prose"])
+    lost = top & (rng.random(n) < 0.2)
+    kind[lost] = layout.CODE["head"]
+    x = layout.describe(of, no, kind, np.full(n, 9), np.full(n, 1), np.zeros(n, bool), np.where(top & ~lost, 9, 1))
+    costs = layout.fit(*layout.tally(x))
+    assert costs.place[0] > 2 and costs.place[2] < 0 and abs(costs.kind[layout.CODE["menu"]] - layout.KIND_VOTES[layout.CODE["menu"]]) <= layout.SWING
+    assert (layout.cut(x, costs) == top).mean() > 0.99
+    assert layout.fit(np.zeros(int(np.prod(layout.SHAPE))), np.zeros(12)).edges.tolist() == layout.prior().edges.tolist()
+
+
+def test_cut_equals_the_whole_minimum():
+    rng = np.random.default_rng(4)
+    n = 300
+    of = np.sort(rng.integers(0, 60, n))
+    of = np.unique(of, return_inverse=True)[1]
+    no = np.arange(n)
+    x = layout.describe(of, no, rng.integers(1, len(pl.KINDS), n), rng.integers(1, 20, n), rng.integers(0, 3, n), rng.random(n) < 0.1, rng.integers(1, 12, n))
+    costs = layout.Costs(rng.normal(0, 2, len(layout.KINDS)), rng.normal(0, 1, 24), rng.normal(0, 1, 6), rng.normal(0, 1, 2), np.array([2.5, 0.9, 0.2]))
+    odds, got = layout.unary(x, costs), layout.cut(x, costs)
+    for p in range(int(of[-1]) + 1):
+        at = np.flatnonzero(of == p)
+        edges = [(k - 1, k, float(costs.edges[x.edge[i]])) for k, i in enumerate(at) if k]
+        c0, c1 = np.maximum(odds[at], 0).tolist(), np.maximum(-odds[at], 0).tolist()
+        best = energy(mincut.label(c0, c1, edges), c0, c1, edges)
+        assert energy(got[at].astype(int).tolist(), c0, c1, edges) == pytest.approx(best)
+
+
+def test_line_sums_equal_counting():
+    texts = ["Ein Satz, gut.", "", "ABC 12 %%", "ärger"]
+    got = pages.line_sums(texts, [3, 0, 3, 1], [1, 0, 0, 0])
+    for t, r in zip(texts, got.tolist(), strict=True):
+        w = t.split(" ") if t else []
+        assert r[1:6] == [sum(map(str.isalpha, t)), sum(map(str.isdigit, t)), sum(not c.isalnum() and c != " " for c in t), sum(map(str.isupper, t)), t.count(",")] and r[9] == sum(len(x) ** 2 for x in w)
+
+
+def test_letters_of_other_scripts_are_near_no_language():
+    de = "der die das und nicht mit von auf für ist ein eine werden durch über "
+    model = hdlang.train({k: np.bincount(hdlang.cells(t * 3), minlength=hdlang.CELLS).astype(float) for k, t in (("de", de), ("en", "the of and to in is that with for was this have "))})
+    assert abs(model.each(["Наша компания производит станки и детали для всех заводов страны"])[0]).max() < 0.07 < model.each([de])[0].max()

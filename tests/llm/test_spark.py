@@ -6,7 +6,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from chronopanel.llm import encoding, hdlang, language, leak, lines, pack, pages, quality, queries, spans
+from chronopanel.llm import bodies, encoding, hdlang, language, leak, lines, pack, pages, quality, queries, residue, spans
 
 PAGES = "firm_id string, relative_timepoint string, original_archived_url string, registrable_domain string, document_title string, h1_text string, meta_description string, extracted_text string, text_language string, html_lang string, pid int, n string, line string"
 WORDS = {"de": "der die das und nicht mit von auf für ist ein eine werden durch über wir haben unsere".split(), "en": "the of and to in is that with for was this have from they which our are".split()}
@@ -27,15 +27,19 @@ def table(spark, rows):
     return spark.createDataFrame(rows, PAGES)
 
 
+def labels(t, words):
+    return pages.prepared(t, language.profiles(t, words), words, marks=True, languages=True)
+
+
 EDGE = [page("e1", None), page("e2", ""), page("e3", " \n\t"), (None,) * 10 + (None, None, None), page("e4", "ein", None), page("e5", "wort " * 30_000), page("e6", "x" * 100_000)]
 
 
 def test_page_operators_take_edge_cases(spark, words):
     for rows in ([], EDGE):
         t = table(spark, rows)
-        model = language.profiles(t, words)
+        own = labels(t, words)
         assert encoding.found(t).count() == 0 and lines.found(t).count() == 0
-        encoding.restored(t).count(), lines.cleaned(t).count(), language.found(t, model).count(), quality.found(quality.assessed(t, model, words)).count()
+        encoding.restored(t).count(), lines.cleaned(t).count(), language.found(own).count(), language.segments(own).count(), quality.found(quality.assessed(own)).count(), bodies.bodies(t, own).count(), residue.pieces(own).count()
 
 
 def test_encoding_is_found_and_restored(spark):
@@ -80,8 +84,7 @@ def test_languages(spark, words):
     rows = [page(i, "\n".join([DE] * 3), lang="de") for i in range(6)] + [page(f"en{i}", "\n".join([EN] * 3), "b.de", lang="en") for i in range(6)]
     rows += [page("w", f"{EN}\n{EN} Yes.", "c.de", lang="de"), page("m", f"{DE} Ja.\n{EN} No.", "d.de", lang="de"), page("n", f"{DE} Gut.", "e.de", lang=None), page("r", f"{DE} Fein.", "f.de", lang="DE_at")]
     t = table(spark, rows)
-    model = language.profiles(t, words)
-    assert {(r[2][-1], r[3]) for r in language.found(t, model).collect()} == {("w", "en"), ("m", "de"), ("m", "en"), ("n", "de")}
+    assert {(r[2][-1], r[3]) for r in language.found(labels(t, words)).collect()} == {("w", "en"), ("m", "de"), ("m", "en"), ("n", "de")}
 
 
 def test_passages(spark):
@@ -127,10 +130,10 @@ def test_packing(spark):
 def test_statistics_contributions_add_up(spark, words):
     rows = [page(i, f"{DE} {i}\n{DE}\n{DE}", f"{i}.de") for i in range(50)] + [page("l", "\n".join(f"- Platte AB-{i}" for i in range(30))), page("c", "Kontakt | Impressum | Presse")]
     t = table(spark, rows)
-    a = quality.assessed(t, language.profiles(t, words), words)
+    a = quality.assessed(labels(t, words))
     assert {r[2][-1] for r in quality.found(a).collect()} == {"l", "c"}
     assert all(abs(sum(r["contributions"]) - r["distance"]) < 1e-6 for r in a.where(F.col("distance").isNotNull()).collect())
-    assert len(quality.STATISTICS) == 9 and isinstance(hdlang.CELLS, int) and pages.KEY[0] == "firm_id"
+    assert len(quality.STATISTICS) == 10 and isinstance(hdlang.CELLS, int) and pages.KEY[0] == "firm_id"
 
 
 def test_damage_that_ends_in_a_quote_is_found_alone(spark):
@@ -153,10 +156,22 @@ def test_token_of_many_lost_bytes_is_a_case(spark):
     assert {r["original_archived_url"][-1]: r["restored"] for r in encoding.restored(t).collect()} == {"w": "�a" * 8, "r": "�" * 40}
 
 
-def test_mostly_lists_need_no_distance(spark):
-    rows = [(*"abc", "de", False, share, [0.0] * 9, d) for share, d in ((0.6, None), (0.6, 1.0), (0.5, 99.0))]
-    a = spark.createDataFrame([(str(i), *r[1:]) for i, r in enumerate(rows)], "firm_id string, relative_timepoint string, original_archived_url string, lang string, residue boolean, odd_share double, stats array<double>, distance double")
-    assert {r["firm_id"] for r in quality.found(a).collect()} == {"0", "1"}
+def test_every_page_with_text_has_a_language(spark, words):
+    rows = [page(i, "\n".join([DE] * 3)) for i in range(6)] + [page(f"en{i}", "\n".join([EN] * 3), "b.de", lang="en") for i in range(6)]
+    rows += [page("ru", "Наша компания производит станки и детали для всех заводов страны.", lang="ru"), page("m", "Kontakt | Impressum"), page("n", "12 34"), page("h", "Maschinen für das Werk")]
+    got = {}
+    for r in language.segments(labels(table(spark, rows), words)).collect():
+        got.setdefault(r[2].rsplit("/", 1)[1], set()).add(r["lang"])
+    assert len(got) == len(rows) and got["ru"] == {"und"} and got["n"] == {"und"} and got["0"] == {"de"} and got["h"] == {"de"}
+    assert "ru" not in {r[3] for r in language.found(labels(table(spark, rows), words)).collect()}
+
+
+def test_bodies_and_shared_labels(spark, words):
+    text = "Startseite | Kontakt | Impressum\nDie neue Halle wurde im Mai mit der Familie und allen Kunden eröffnet.\n\n© 1999–2010 Muster GmbH"
+    t = table(spark, [page("a", text), page("a", text), page("b", "© 1999–2010 Muster GmbH"), page("c", None)])
+    own = labels(t, words)
+    assert {(r[2][-1], r["body"], r["boilerplate_ratio"]) for r in bodies.bodies(t, own).collect()} == {("a", text.split("\n")[1], round(1 - len(text.split("\n")[1]) / len(text), 3)), ("b", "", 1.0)}
+    assert {(r[2][-1], r["line_no"]) for r in bodies.found(own).collect()} == {("a", 1), ("a", 4), ("b", 1)}
 
 
 def test_titles_without_text_are_read_for_residue(spark, tmp_path):
