@@ -13,7 +13,12 @@ _NOT_AZ = bytes(x for x in range(128) if not 97 <= x <= 122)
 
 def skeleton(text: str) -> str:
     """Lower-case ASCII letters of ``text`` and nothing else."""
-    return text.lower().encode("ascii", "ignore").translate(None, _NOT_AZ).decode("ascii")
+    return letters(text.lower())
+
+
+def letters(low: str) -> str:
+    """:func:`skeleton` of a text in lower case."""
+    return low.encode("ascii", "ignore").translate(None, _NOT_AZ).decode("ascii")
 
 
 # Labels that sites use in their menus.

@@ -16,7 +16,7 @@ from . import lexicon as lx
 
 SPACES = re.compile(r"[\t\xa0 ]+")
 _SEP = re.compile(r"\s*[|¦>›»«/·•;]\s*|\t+|[ \xa0]{2,}| - ")
-_SEPARATORS = frozenset("|¦>›»«/·•;\t")
+_SEPARATORS = ("|", "/", ";", ">", "\t", " - ", "  ", "\xa0", "·", "»", "«", "›", "•", "¦")
 _TRAIL = tuple(lx.fragments(lx.TRAIL))
 _FIND = lx.automaton({"filler": lx.FILLER, "script": lx.SCRIPT, "notice": lx.NOTICE, **lx.PROMPTS})
 _NOTICE_START = tuple(lx.fragments(lx.NOTICE))
@@ -44,9 +44,9 @@ _CREDIT = re.compile(r"^[^\W\d]\S*(?: \S+){0,2} ?: [^,.]{3,60}$")
 _PLACE_ITEM = re.compile(r"^[^\s,][^,.!?]{2,40}, \S[^,.!?]{4,50}$")
 _SLOGAN = re.compile(r"^[^\W\d_][^\s.:–!?,]*(?: [^\s.:–!?,]+){1,2}(?:\.|:| –) [^\W\d_][^\s.:–!?,]*(?: [^\s.:–!?,]+){1,2}\.?$")
 _CODELIKE = re.compile(r"function\s*\(|\bvar \w+\s*=|;\}|\)\s*\{|=>|\breturn\b[^;]*;|</?\w+[^<>]*>|\w\(\w*\);")
-_CODE_SIGN = re.compile(r"[;{}=<>]")
+_CODE_SIGNS = ";{}=<>"
 _WORD = re.compile(r"[^\W_]+")
-_DIGIT = re.compile(r"\d")
+_DIGITS = "0123456789"
 _MIXED = re.compile(r"^(?=\w*\d)(?=\w*[a-z])\w+$")
 _SENTENCE = re.compile(r"(?<=[.!?]) ")
 _ODD_CHAR = re.compile(r"[^\w\s]|_")
@@ -79,7 +79,7 @@ def tidy(line: str) -> str:
 def _menu(raw: str, text: str, sk: str, words: list[str]) -> bool:
     if sk in lx.MENU_KEYS:
         return len(text) < 2 * len(sk) + 12
-    if not _SEPARATORS.isdisjoint(raw) or " - " in raw or "  " in raw or "\xa0" in raw:
+    if any([x in raw for x in _SEPARATORS]):
         parts = [p for p in map(lx.skeleton, _SEP.split(raw.strip())) if p]
         if len(parts) >= 2 and sum(p in lx.MENU_KEYS for p in parts) >= 0.6 * len(parts):
             return True
@@ -103,7 +103,7 @@ def _table(raw: str) -> bool:
             cells = [c.strip() for c in own.split(sep) if c.strip()]
             if len(cells) >= 3 and (sum(bool(_CELL.match(c)) for c in cells[1:]) >= 0.6 * (len(cells) - 1) or all(_UNIT.search(c) and len(c) < 40 for c in cells[1:]) and len(cells[0]) < 20):
                 return True
-    if not own.isascii():
+    if not own.isascii() and sum(map(own.count, "0123456789-")) > 1:
         cells = [c for c in _ODD_SEP.split(own) if c]
         if len(cells) >= 3 and sum(bool(_CELL.match(c)) for c in cells[1:]) >= 0.6 * (len(cells) - 1):
             return True
@@ -132,11 +132,13 @@ _MASH_STARTS = frozenset(lx.LOREM[i : i + 5] for i in range(len(lx.LOREM) - 4))
 def has_lorem(words: list[str], low: list[str]) -> bool:
     """Whether any ``WINDOW`` words in a row, or all if they are fewer, are made-up Latin or keyboard mash; ``low``: the words in lower case.
 
-    Of two words in a row one is at an even place, so a window of which most words are mash has at least two of them there.
+    Of two words in a row one is at an even place, so a window of which most words are mash has some of them there.
     """
     if len(words) <= WINDOW:
         return is_lorem(words)
-    if len([1 for w in low[::2] if w[:5] in _MASH_STARTS or w[:3] == "jkl" or w[:2] == "xx"]) < 2:
+    some = low[::2]
+    starts = [w[:5] for w in some]
+    if _MASH_STARTS.isdisjoint(starts) and not any([x[:3] == "jkl" or x[:2] == "xx" for x in starts]):
         return False
     hits = [_mash(w) for w in low]
     now = sum(hits[:WINDOW])
@@ -208,8 +210,9 @@ _remembered = lru_cache(maxsize=100_000)(_classify)
 
 def _kind(raw: str, text: str, words: list[str], nw: int) -> str:
     n = len(text)
-    sk = lx.skeleton(text)
-    signs = len(_CODE_SIGN.findall(text))
+    low = text.lower()
+    sk = lx.letters(low)
+    signs = sum(map(text.count, _CODE_SIGNS))
     sentence = nw >= 5 and text[-1] in ".!?“”\")’"
     if sk.startswith(_NOTICE_START) and _phrases(text) == "notice":
         return "notice"
@@ -217,7 +220,7 @@ def _kind(raw: str, text: str, words: list[str], nw: int) -> str:
         return "menu"
     if _RIGHTS.match(text) or _SIGN_YEARS.match(text) or not sentence and _YEARS.match(text):
         return "footer"
-    if sk in _PHONE_KEYS and _PHONE.match(text) and len(_DIGIT.findall(text)) >= 6:
+    if sk in _PHONE_KEYS and _PHONE.match(text) and sum(map(text.count, _DIGITS)) >= 6:
         return "phone"
     if sk in _TEASERS:
         return "teaser"
@@ -232,7 +235,7 @@ def _kind(raw: str, text: str, words: list[str], nw: int) -> str:
     if next(_FIND.iter(sk), None) and (got := _phrases(text)):
         return got
     if nw > WINDOW:
-        if has_lorem(words, text.lower().split(" ")):
+        if has_lorem(words, low.split(" ")):
             return "filler"
     elif is_lorem(_WORD.findall(text)):
         return "filler"
@@ -257,7 +260,7 @@ def _kind(raw: str, text: str, words: list[str], nw: int) -> str:
         return "junk"
     if len(sk) < 0.5 * n and 2 * sum(map(str.isalpha, text)) < n and nw > 9:
         return "junk"
-    if nw >= 3 and n - len(sk) - nw + 1 >= 0.4 * nw and len(_DIGIT.findall(text)) >= 0.4 * nw and _random(words):
+    if nw >= 3 and n - len(sk) - nw + 1 >= 0.4 * nw and sum(map(text.count, _DIGITS)) >= 0.4 * nw and _random(words):
         return "junk"
     if nw <= 7 and _SLOGAN.match(text):
         return "slogan"

@@ -10,7 +10,7 @@ is delivered twice is labelled twice and yields the same rows, which are made di
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,24 +97,10 @@ def _binary(flat: np.ndarray, ends: list[int]) -> pa.Array:
     return pa.array([flat[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())
 
 
-def scan(table: DataFrame, model: hdlang.Profiles | None = None, common_words: DataFrame | None = None, marks: bool = False, languages: bool = False, or_title: bool = False) -> DataFrame:
-    """One narrow row for each page with text (or title, if ``or_title``): key, hashes, and for each line, empty ones included, its kind, words, length class and hash.
-
-    ``marks``: placeholders and default titles, and the lines that may be filler or notices. ``model``: the page's language ``lang`` by all lines that
-    aren't chrome of themselves; with ``common_words`` (lang, word; a list of a fixed size) also sums for statistics; with ``languages`` cosines of each line.
-    """
-    base = identified(with_text(table, or_title))
-    names = [*KEY, *ID, "d", *(["text_language"] if languages else [])]
-    cols = [*KEY, *ID, F.when(F.col("registrable_domain").isNotNull(), F.xxhash64("registrable_domain")).alias("d")]
-    if languages:
-        cols.append(F.col("text_language") if "text_language" in base.columns else F.lit(None).cast("string").alias("text_language"))
-    lists: dict[str, tuple[int, ...]] = {}
-    if common_words is not None and model is not None:
-        rows = common_words.select("lang", "word").where(F.col("lang").isNotNull() & F.col("word").isNotNull()).distinct().toPandas()
-        lists = {w: tuple(model.langs.index(x) for x in g if x in model.langs) for w, g in rows.groupby("word")["lang"]}
+def _reader(names: list[str], schema: str, model: hdlang.Profiles | None, lists: dict[str, tuple[int, ...]], marks: bool, languages: bool) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """The work of :func:`scan` on a batch of pages."""
     stats = bool(lists)
-    schema = f"{KEY_SCHEMA}, a long, b long, u long, d long" + (", text_language string" if languages else "") + ", kind binary, words binary, size binary, own binary, h array<long>"
-    schema += (", pieces array<string>, odd array<string>" if marks else "") + (", lang int" if model else "") + (", stats binary" if stats else "") + (", cosines binary" if languages else "")
+    known = [frozenset(w for w, of in lists.items() if k in of).__contains__ for k in range(len(model.langs) if model else 0)]
     plain = np.array([k in ("prose", "head", "list", "table", "junk", "notice", "filler", "script") for k in pl.KINDS])
 
     def chunk(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -154,14 +140,35 @@ def scan(table: DataFrame, model: hdlang.Profiles | None = None, common_words: D
             lang = per.argmax(axis=1) if len(model.langs) else np.full(len(ends), -1)
             out.append(pa.array(lang.astype(np.int32)))
             if stats:
-                common = []
-                for x, page in zip(lines, lang[of].tolist(), strict=True):
-                    common.append(sum(page in got for w in x.text.lower().split(" ") if (got := lists.get(w))))
+                common = [sum(map(known[page], x.text.lower().split(" "))) for x, page in zip(lines, lang[of].tolist(), strict=True)]
                 out.append(_binary(line_sums([x.text for x in lines], words.tolist(), common).astype(np.float32), ends))
             if languages:
                 out.append(_binary((dots / np.sqrt(np.maximum(squares, 1.0) * hdlang.DIMENSIONS)[:, None]).astype(np.float32), ends))
         return pa.RecordBatch.from_arrays(out, names=[x.split(" ")[0] for x in schema.split(", ")])
 
+    return chunk
+
+
+def scan(table: DataFrame, model: hdlang.Profiles | None = None, common_words: DataFrame | None = None, marks: bool = False, languages: bool = False, or_title: bool = False) -> DataFrame:
+    """One narrow row for each page with text (or title, if ``or_title``): key, hashes, and for each line, empty ones included, its kind, words, length class and hash.
+
+    ``marks``: placeholders and default titles, and the lines that may be filler or notices. ``model``: the page's language ``lang`` by all lines that
+    aren't chrome of themselves; with ``common_words`` (lang, word; a list of a fixed size) also sums for statistics; with ``languages`` cosines of each line.
+    """
+    base = identified(with_text(table, or_title))
+    names = [*KEY, *ID, "d", *(["text_language"] if languages else [])]
+    cols = [*KEY, *ID, F.when(F.col("registrable_domain").isNotNull(), F.xxhash64("registrable_domain")).alias("d")]
+    if languages:
+        cols.append(F.col("text_language") if "text_language" in base.columns else F.lit(None).cast("string").alias("text_language"))
+    lists: dict[str, tuple[int, ...]] = {}
+    if common_words is not None and model is not None:
+        rows = common_words.select("lang", "word").where(F.col("lang").isNotNull() & F.col("word").isNotNull()).distinct().toPandas()
+        lists = {w: tuple(model.langs.index(x) for x in g if x in model.langs) for w, g in rows.groupby("word")["lang"]}
+    stats = bool(lists)
+    schema = f"{KEY_SCHEMA}, a long, b long, u long, d long" + (", text_language string" if languages else "") + ", kind binary, words binary, size binary, own binary, h array<long>"
+    schema += (", pieces array<string>, odd array<string>" if marks else "") + (", lang int" if model else "") + (", stats binary" if stats else "") + (", cosines binary" if languages else "")
+    chunk = _reader(names, schema, model, lists, marks, languages)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = np.cumsum([len(x or "") for x in batch.column("extracted_text").to_pylist()]) // CHUNK
