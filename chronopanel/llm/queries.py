@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bodies, encoding, language, leak, lines, pack, pages, quality, residue, spans
+from . import bodies, encoding, language, leak, lines, nearest, pack, pages, quality, residue, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,10 @@ def _labelled(spark: SparkSession, sf: str, **options: bool) -> DataFrame:
     return pages.prepared(table, language.profiles(table, words), words if not options.get("languages") else None, marks=True, **options)
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest.found(_t(spark, sf, "snapshots"), _t(spark, sf, "captures"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return quality.found(p5_statistics(spark, sf))
 
@@ -92,11 +96,17 @@ def p10_coverage(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_restored, p2_found, p2_residue, p3_found, p3_bodies, p5_found, p5_statistics, p6_found, p6_segments, p7_found, p7_cleaned, p8_containers, p9_found, p9_report, p10_found, p10_coverage,
+        p1_found, p1_restored, p2_found, p2_residue, p3_found, p3_bodies, p4_found, p5_found, p5_statistics, p6_found, p6_segments, p7_found, p7_cleaned, p8_containers, p9_found, p9_report, p10_found, p10_coverage,
     )
 }
 #: Where SQL can say the same on whole tables in reasonable time.
 SQL = {
+    "p4_found": """
+with o as (select distinct firm_id, relative_timepoint, target_date from snapshots where not observation_is_future),
+c as (select distinct firm_id, timestamp as ts, try_strptime(substr(timestamp, 1, 8), '%Y%m%d')::date as d from captures
+      where statuscode = '200' and mimetype = 'text/html' and regexp_full_match(timestamp, '[0-9]{14}') and try_strptime(timestamp, '%Y%m%d%H%M%S') is not null)
+select o.firm_id, relative_timepoint, ts as archive_timestamp from o join c on o.firm_id = c.firm_id and abs(d - target_date) <= 548
+qualify row_number() over (partition by o.firm_id, relative_timepoint order by abs(d - target_date), ts desc) = 1""",
     "p7_found": """
 with l as (select distinct registrable_domain, firm_id, relative_timepoint, original_archived_url,
              trim(regexp_replace(translate(x, chr(9) || chr(160), '  '), ' +', ' ', 'g'), ' ') as line_text
