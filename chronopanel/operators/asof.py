@@ -22,50 +22,28 @@ def valid_timestamp(timestamp: Column) -> Column:
 
 
 def nearest(left: DataFrame, right: DataFrame, on: Sequence[str], left_date: str, right_date: str, tolerance: int, order: Sequence[Column], tie_break: str = "later") -> DataFrame:
-    """For each left row the nearest right row of the same entity: equi-join on ``on``, one hash aggregation, no sort.
+    """For each left row the nearest right row of the same entity: equi-join on ``on``, hash aggregation.
 
     Adds ``candidates`` (right rows of the entity), ``near`` (those within ``tolerance`` days) and ``best`` (struct of the right row, null if
     none is near). At equal distance the later date wins, or the earlier; at equal dates ``order``, smallest first. ``left`` must have a
-    column ``_row`` that names its rows. Right rows without date never match. A right side that is skewed by entity is reduced to the rows
-    that can win by :func:`nearest_by_ticks`.
+    column ``_row`` that names its rows. Right rows without date never match, but are candidates. The right side is first reduced to one row
+    for each entity and date, with map-side combination, so an entity brings at most as many rows to the join as there are days.
     """
     own = right.select(*on, F.struct("*").alias("r"))
-    gap = F.abs(F.datediff(F.col(left_date), F.col(f"r.{right_date}")))
+    day = F.col(f"r.{right_date}")
+    days = own.groupBy(*on, day.alias("_d")).agg(F.min_by("r", F.struct(*order)).alias("r"), F.count(F.lit(1)).alias("_n"))
+    gap = F.abs(F.datediff(F.col(left_date), F.col("_d")))
     sign = -1 if tie_break == "later" else 1
     near = gap <= tolerance
     names = [c for c in left.columns if c not in (*on, "_row")]
-    key = F.struct(gap.alias("g"), (F.unix_date(F.col(f"r.{right_date}")) * sign).alias("t"), *[o.alias(f"o{i}") for i, o in enumerate(order)])
+    key = F.struct(gap.alias("g"), (F.unix_date("_d") * sign).alias("t"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
     return (
-        left.join(own, list(on), "left").groupBy("_row", *on)
-        .agg(*[F.first(c).alias(c) for c in names], F.count("r").alias("candidates"), F.count_if(near).alias("near"), F.min_by("r", F.when(near, key)).alias("best"))
+        left.join(days, list(on), "left").groupBy("_row", *on)
+        .agg(*[F.first(c).alias(c) for c in names], zero("_n").alias("candidates"), zero(F.when(near, F.col("_n"))).alias("near"), F.min_by("r", F.when(near, key)).alias("best"))
     )
 
 
-def nearest_by_ticks(left: DataFrame, right: DataFrame, entity: str, left_date: str, right_date: str, payload: str, tolerance: int, tick_days: int = 128) -> DataFrame:
-    """Nearest right row within ``tolerance`` days by tick expansion; at equal distance the greater ``payload``.
-
-    Right rows are first reduced to the greatest payload for each entity and date, then put on every tick of ``tick_days`` days that lies
-    within tolerance. An entity's tick keeps, of the dates before and after it, the nearest one each, and all dates inside (at most
-    ``tick_days``), so it holds the answer for every left date in it, however many rows the entity has. Left rows then join their own tick by
-    equality. Left columns are kept, equal left rows come once, ``payload`` and ``distance`` added; left rows without match are dropped. Null entities, dates and
-    payloads never match. With ``tick_days=1`` a tick is one day and keeps one row.
-    """
-    right = right.select(F.col(entity).alias("_e"), F.unix_date(F.col(right_date)).alias("_d"), F.col(payload).alias("_p")).where("_e is not null and _d is not null and _p is not null")
-    right = right.groupBy("_e", "_d").agg(F.max("_p").alias("_p"))
-    width = F.lit(tick_days)
-    tick = lambda d: F.floor(d / width).cast("int")
-    spread = right.withColumn("_t", F.explode(F.sequence(tick(F.col("_d") - tolerance), tick(F.col("_d") + tolerance))))
-    first = F.col("_t") * width
-    side = F.when(F.col("_d") < first, -1).when(F.col("_d") >= first + width, -2).otherwise(F.col("_d") - first)
-    away = F.abs(F.col("_d") - first)
-    kept = spread.groupBy("_e", "_t", side.alias("_s")).agg(F.min_by(F.struct("_d", "_p"), away).alias("_r"))
-    own = left.withColumn("_ld", F.unix_date(F.col(left_date)))
-    both = own.withColumn("_t", tick(F.col("_ld"))).join(kept.withColumnRenamed("_e", entity), [entity, "_t"])
-    gap = F.abs(F.col("_r._d") - F.col("_ld"))
-    best = both.where(gap <= tolerance).groupBy(*left.columns).agg(F.max_by(F.struct(F.col("_r._p").alias("p"), gap.alias("g")), F.struct((-gap).alias("a"), F.col("_r._p").alias("b"))).alias("_best"))
-    return best.select(*left.columns, F.col("_best.p").alias(payload), F.col("_best.g").cast("int").alias("distance"))
-
-
 def select_captures(observed: DataFrame, captures: DataFrame, selection: Selection) -> DataFrame:
     """``observed`` with status, chosen capture, distance and reasons.
 
@@ -91,11 +69,3 @@ def select_captures(observed: DataFrame, captures: DataFrame, selection: Selecti
         F.when(status == "future_unavailable", "future_unavailable").when(status == "selected", reason).alias("selection_reason"),
         F.when(status == "not_found", "no_matching_captures").when(status == "beyond_tolerance", f"nearest_capture_exceeds_{tol}_days").alias("failure_reason"),
     )
-
-
-def found(snapshots: DataFrame, captures: DataFrame, tolerance: int = 548) -> DataFrame:
-    """``firm_id, relative_timepoint, archive_timestamp`` of every observation that isn't future, matched by :func:`nearest_by_ticks`."""
-    left = snapshots.where(~F.col("observation_is_future")).select("firm_id", "relative_timepoint", "target_date").distinct()
-    usable = captures.where((F.col("statuscode") == "200") & (F.col("mimetype") == "text/html") & valid_timestamp(F.col("timestamp")))
-    right = usable.select("firm_id", F.col("timestamp").alias("archive_timestamp"), capture_date(F.col("timestamp")).alias("capture_date"))
-    return nearest_by_ticks(left, right, "firm_id", "target_date", "capture_date", "archive_timestamp", tolerance).select("firm_id", "relative_timepoint", "archive_timestamp").distinct()

@@ -62,10 +62,6 @@ def orders_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return got.groupBy("snapshot_status").agg(F.count(F.lit(1)).alias("n"), F.sum("temporal_distance_days").cast("bigint").alias("total_distance"))
 
 
-def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return asof.found(_t(spark, sf, "snapshots"), _t(spark, sf, "captures"))
-
-
 def capture_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return captures.dedupe(_t(spark, sf, "captures")).select("firm_id", "timestamp", "original", "seed_ord", "row_ord")
 
@@ -196,7 +192,7 @@ def crawl_bfs(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        snapshot_status_counts, observation_grid, snapshot_select, snapshot_select_earlier, orders_nearest, p4_found, capture_dedupe, capture_collapse, capture_seeds, firm_upsert, firms_top_n, firm_filter,
+        snapshot_status_counts, observation_grid, snapshot_select, snapshot_select_earlier, orders_nearest, capture_dedupe, capture_collapse, capture_seeds, firm_upsert, firms_top_n, firm_filter,
         url_parts, url_normalize, url_query_filter, url_exclusion, branding_score, replay_url, text_counts, boilerplate_ratio, text_predicates, noise_lines, content_dedupe, page_check, quality_summary, review_sample,
         manifest_counts, placeholder_rows, crawl_bfs,
     )

@@ -64,12 +64,6 @@ SQL: dict[str, str] = {
     "snapshot_select_earlier": _select(_FIRMS, _DEDUPED, "2026-07-13", "asc"),
     "snapshot_status_counts": _COUNTS.format(q=_select(_FIRMS, _DEDUPED, "2026-07-13", "desc")),
     "orders_nearest": _COUNTS.format(q=_select(_CUSTOMERS, _ORDERS, "1999-01-01", "desc")),
-    "p4_found": """
-with o as (select distinct firm_id, relative_timepoint, target_date from snapshots where not observation_is_future),
-c as (select distinct firm_id, timestamp as ts, try_strptime(substr(timestamp, 1, 8), '%Y%m%d')::date as d from captures
-      where statuscode = '200' and mimetype = 'text/html' and regexp_full_match(timestamp, '[0-9]{14}') and try_strptime(timestamp, '%Y%m%d%H%M%S') is not null)
-select o.firm_id, relative_timepoint, ts as archive_timestamp from o join c on o.firm_id = c.firm_id and abs(d - target_date) <= 548
-qualify row_number() over (partition by o.firm_id, relative_timepoint order by abs(d - target_date), ts desc) = 1""",
     "capture_dedupe": f"select firm_id, timestamp, original, seed_ord, row_ord from ({_DEDUPED})",
     "capture_collapse": """
 select firm_id, row_ord, digest from (select *, lag(digest) over w as p, row_number() over w as n from captures window w as (partition by firm_id, urlkey order by timestamp nulls first, row_ord))

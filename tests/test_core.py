@@ -58,26 +58,6 @@ def test_tie_break_and_first_row(spark):
     assert asof.select_captures(observed(spark, dt.date(2015, 7, 1)), same, Selection()).first()["canonical_original_url"] == "http://a.de/0"
 
 
-@pytest.mark.parametrize("width", [1, 7, 128])
-def test_ticks_equal_brute_force(spark, width):
-    rng = random.Random(width)
-    day = lambda n: dt.date(2010, 1, 1) + dt.timedelta(days=n)
-    left = [(rng.choice("abc"), i, day(rng.randint(0, 400))) for i in range(60)] + [(None, 99, day(1)), ("a", 100, None)]
-    right = [(rng.choice("abc"), day(rng.randint(0, 400)), f"p{i:03}") for i in range(40)] * 2 + [(None, day(1), "x"), ("a", None, "y"), ("b", day(3), None)]
-    got = asof.nearest_by_ticks(spark.createDataFrame(left, "e string, i int, d date"), spark.createDataFrame(right, "e string, rd date, p string"), "e", "d", "rd", "p", 20, width)
-    want = set()
-    for e, i, d in left:
-        near = [(-abs((d - r).days), p) for x, r, p in right if e and d and x == e and r and p and abs((d - r).days) <= 20]
-        if near:
-            want.add((i, max(near)[1], -max(near)[0]))
-    assert {(r["i"], r["p"], r["distance"]) for r in got.collect()} == want
-
-
-def test_ticks_on_empty_tables(spark):
-    left, right = spark.createDataFrame([], "e string, d date, extra int"), spark.createDataFrame([], "e string, rd date, p string, extra int")
-    assert asof.nearest_by_ticks(left, right, "e", "d", "rd", "p", 20).count() == 0
-
-
 def test_captures(spark):
     lines = spark.createDataFrame([('["urlkey","timestamp","original","mimetype","statuscode","digest","length","redirect"]',), ('["k","20150615120000","http://a.de/"]',), ("no json",)], "value string")
     got = captures.from_json_rows(lines).collect()
