@@ -36,7 +36,7 @@ def main(args: list[str] | None = None) -> None:
 
     def firms():
         if a.command in ("prepare", "run") or not Path(at("firms")).exists():
-            io.write_parquet(pipeline.prepare(io.read_longlist(spark, a.input), config, a.top_n), at("firms"))
+            io.write_parquet(pipeline.prepare(io.read_longlist(spark, a.input or config.input_csv), config, a.top_n), at("firms"))
         return io.read_table(spark, at("firms"), schemas.FIRMS)
 
     def snapshots():

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field, fields, is_dataclass
 from pathlib import Path
 from typing import Any
 
+#: Sections and settings of other configuration files that have no effect here: network access, browser, extractors.
+UNUSED = {
+    "": ("extract", "visual", "archive"), "crawl": ("mode", "timeout_seconds", "retries", "user_agent", "throttle_seconds"),
+    "selection": ("target_date_strategy", "prefer", "event_year_precision_note"),
+}
+
 
 @dataclass
 class Timepoints:
@@ -24,7 +31,8 @@ class Selection:
     tie_break: str = "later"
     allowed_status_codes: list[str] = field(default_factory=lambda: ["200"])
     allowed_mimetypes: list[str] = field(default_factory=lambda: ["text/html"])
-    url_variants: list[str] = field(default_factory=lambda: ["https://www.{domain}/", "https://{domain}/", "http://www.{domain}/", "http://{domain}/"])
+    # Addresses under which a site is looked up.
+    url_variants: list[str] = field(default_factory=lambda: ["https://www.{domain}/", "http://www.{domain}/", "https://{domain}/", "http://{domain}/"])
 
 
 @dataclass
@@ -64,7 +72,10 @@ class Config:
     run_id: str = "run"
     run_date: str = "2026-07-13"
     top_n: int = 5
+    input_csv: str | None = None
     output_dir: str = "out"
+    interim_dir: str = "interim"
+    reports_dir: str = "reports"
     timepoints: Timepoints = field(default_factory=Timepoints)
     selection: Selection = field(default_factory=Selection)
     crawl: Crawl = field(default_factory=Crawl)
@@ -72,26 +83,41 @@ class Config:
 
     @classmethod
     def from_dict(cls, values: dict[str, Any] | None) -> Config:
-        return _fill(cls, values or {})
+        """Settings from a dictionary. The section ``run`` holds settings of the top level, ``snapshot_selection`` is ``selection``, and in ``crawl``
+        the mode ``homepage_only`` is read. Missing and null values take defaults;
+        known settings without effect are ignored, unknown ones warned of."""
+        own = {k: v for k, v in (values or {}).items() if k not in ("run", "snapshot_selection")}
+        own |= {k: v for k, v in ((values or {}).get("run") or {}).items()}
+        if (values or {}).get("snapshot_selection"):
+            own["selection"] = dict(values["snapshot_selection"])
+        if isinstance(own.get("crawl"), dict) and own["crawl"].get("mode") == "homepage_only":
+            own["crawl"] = {**own["crawl"], "homepage_only": True}
+        return _fill(cls, own, "")
 
     @classmethod
     def from_yaml(cls, path: str | Path) -> Config:
-        """Settings from a YAML file; missing sections and keys take defaults, unknown ones are ignored."""
+        """Settings from a YAML file, see :meth:`from_dict`."""
         import yaml
 
         return cls.from_dict(yaml.safe_load(Path(path).read_text(encoding="utf-8")))
 
     def resolve(self, root: str | Path) -> Config:
-        """Make the output folder absolute against ``root``."""
-        if not Path(self.output_dir).is_absolute():
-            self.output_dir = str(Path(root) / self.output_dir)
+        """Make all paths absolute against ``root``."""
+        for name in ("input_csv", "output_dir", "interim_dir", "reports_dir"):
+            path = getattr(self, name)
+            if path is not None:
+                setattr(self, name, str((Path(root) / path).resolve()))
         return self
 
 
-def _fill(cls: type, values: dict[str, Any]) -> Any:
+def _fill(cls: type, values: dict[str, Any], section: str) -> Any:
     out = cls()
-    for f in fields(cls):
-        if f.name in values and values[f.name] is not None:
-            own = getattr(out, f.name)
-            setattr(out, f.name, _fill(type(own), values[f.name]) if is_dataclass(own) else values[f.name])
+    known = {f.name for f in fields(cls)}
+    odd = sorted(set(values) - known - set(UNUSED.get(section, ())))
+    if odd:
+        warnings.warn(f"unknown settings in {section or 'the top level'}: {', '.join(odd)}", stacklevel=3)
+    for name in known & set(values):
+        if values[name] is not None:
+            own = getattr(out, name)
+            setattr(out, name, _fill(type(own), values[name], name) if is_dataclass(own) else values[name])
     return out

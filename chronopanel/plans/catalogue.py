@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..config import Config, Quality, Selection
+from ..functions import html, urls
 from ..functions import text as tx
-from ..functions import urls
 from ..operators import asof, captures, grid, quality, tables
+from ..session import shared_dir
+from ..sources import io
+from ..streaming import captures as stream
+from . import pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 CONFIG = Config(run_date="2026-07-13")
+KEY = ["firm_id", "relative_timepoint", "original_archived_url"]
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -149,7 +155,7 @@ def page_check(spark: SparkSession, sf: str) -> DataFrame:
     own = _pages(spark, sf).select(*cols).distinct()
     domain = _firms(spark, sf).groupBy("firm_id").agg(F.min("primary_domain").alias("primary_domain"))
     got = quality.check_pages(own.join(domain, "firm_id"), F.col("primary_domain"), Quality())
-    return got.select("firm_id", "relative_timepoint", "original_archived_url", "character_count", "soft_404_flag", "likely_navigation_only", "usable_for_analysis", "exclusion_reason")
+    return got.select("firm_id", "relative_timepoint", "original_archived_url", "character_count", "soft_404_flag", "likely_navigation_only", "usable_for_analysis", "exclusion_reason", F.array_join("quality_flags", ",").alias("all_flags"))
 
 
 def quality_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,16 +166,11 @@ def quality_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def review_sample(spark: SparkSession, sf: str) -> DataFrame:
     own = _pages(spark, sf).drop("fetch_timestamp").distinct()
-    return quality.review_sample(own, 15).select("firm_id", "relative_timepoint", "original_archived_url", "usable_for_analysis", "quality_flags")
+    return quality.review_sample(own, 15).select("firm_id", "relative_timepoint", "original_archived_url", "usable_for_analysis", "quality_flags", "extracted_text")
 
 
 def manifest_counts(spark: SparkSession, sf: str) -> DataFrame:
-    shots, pages = _t(spark, sf, "snapshots"), _t(spark, sf, "pages")
-    return (
-        _firms(spark, sf).agg(F.count(F.lit(1)).alias("firms"))
-        .crossJoin(shots.agg(F.count(F.lit(1)).alias("snapshots"), F.count_if(F.col("snapshot_status") == "selected").alias("selected")))
-        .crossJoin(pages.agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.coalesce("usable_for_analysis", F.lit(False))).alias("usable")))
-    )
+    return io.counts(_firms(spark, sf), _t(spark, sf, "snapshots"), _t(spark, sf, "pages")).withColumnsRenamed({"selected_snapshots": "selected", "usable_pages": "usable"})
 
 
 def placeholder_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -189,11 +190,133 @@ def crawl_bfs(spark: SparkSession, sf: str) -> DataFrame:
     return crawl.traverse(site, fetched, links, CONFIG.crawl)
 
 
+def _variants(spark: SparkSession, sf: str) -> DataFrame:
+    """The capture index by requested address: each stored row under the address of its seed."""
+    own = _firms(spark, sf).withColumn("website", F.coalesce("website", F.concat(F.lit("https://www."), "primary_domain")))
+    tried = own.select("firm_id", F.posexplode(captures.seeds(F.col("website"), F.col("primary_domain"), CONFIG.selection.url_variants)).alias("seed_ord", "requested_url"))
+    return tried.join(_t(spark, sf, "captures"), ["firm_id", "seed_ord"]).drop("firm_id", "seed_ord")
+
+
+def _websites(spark: SparkSession, sf: str) -> DataFrame:
+    return _firms(spark, sf).withColumn("website", F.coalesce("website", F.concat(F.lit("https://www."), "primary_domain")))
+
+
+def capture_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Captures of every firm over all its addresses, the first row of each kept."""
+    return captures.by_variants(_websites(spark, sf), _variants(spark, sf), CONFIG.selection.url_variants).select("firm_id", "seed_ord", "requested_url", "timestamp", "original", "row_ord")
+
+
+def discover_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """The snapshot stage from firms and capture index."""
+    got = pipeline.discover(_websites(spark, sf), _variants(spark, sf), CONFIG, "2026-07-13T00:00:00")
+    return got.select("firm_id", "relative_timepoint", "snapshot_status", "archive_timestamp", "temporal_distance_days", "capture_source", "requested_url", "fallback_attempts", F.col("event_year_precision_note").isNotNull().alias("noted"))
+
+
+def future_observations(spark: SparkSession, sf: str) -> DataFrame:
+    return io.future_rows(_t(spark, sf, "snapshots").drop("discovered_at").distinct())
+
+
+def firm_identity(spark: SparkSession, sf: str) -> DataFrame:
+    return grid.with_identity(_firms(spark, sf).drop("firm_id", "run_id"), "r1").select("rank", "firm_id", "run_id", "company")
+
+
+def capture_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Capture columns from rows that are JSON arrays, as the index sends them, with a header row."""
+    own = _t(spark, sf, "captures").where(F.col("row_ord").isNotNull())
+    sent = own.select("row_ord", F.to_json(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in captures.FIELDS])).alias("value"))
+    head = spark.range(1).select(F.lit(-1).alias("row_ord"), F.to_json(F.array(*[F.lit(c) for c in captures.FIELDS])).alias("value"))
+    return captures.from_json_rows(sent.unionByName(head))
+
+
+def cache_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Names under which fetched pages are kept."""
+    return _pages(spark, sf).where(F.col("archive_timestamp").isNotNull() & F.col("wayback_replay_url").isNotNull()).select("archive_timestamp", "wayback_replay_url").distinct().withColumn("key", io.cache_key("archive_timestamp", "wayback_replay_url"))
+
+
+def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Snapshots written as CSV with ISO dates and read again."""
+    path = f"{shared_dir(spark)}/chronopanel/csv-{uuid.uuid4().hex}.csv"
+    io.write_csv(_t(spark, sf, "snapshots"), path, schemas.SNAPSHOTS)
+    return io.read_table(spark, path, schemas.SNAPSHOTS).select("firm_id", "relative_timepoint", "target_date", "observation_is_future", "temporal_distance_days", F.date_format("discovered_at", "yyyy-MM-dd HH:mm:ss").alias("discovered"))
+
+
+def parquet_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Firms written as Parquet by tier and read again."""
+    path = f"{shared_dir(spark)}/chronopanel/parquet-{uuid.uuid4().hex}"
+    io.write_parquet(_firms(spark, sf), path, ["wayback_tier"])
+    return io.read_table(spark, path, schemas.FIRMS).select("firm_id", "company", "event_year", "wayback_tier")
+
+
+def link_policy(spark: SparkSession, sf: str) -> DataFrame:
+    """For each address: whether a crawl of its own site follows it, whether the page that led to it is on the same site, and its place in the queue."""
+    u, d = F.col("original_archived_url"), F.col("discovered_from_url")
+    own = _pages(spark, sf).groupBy("original_archived_url").agg(F.min("discovered_from_url").alias("discovered_from_url"), F.min("crawl_depth").alias("depth"))
+    order = urls.priority(u, F.col("depth"), d.isNull(), CONFIG.crawl.branding_path_patterns, CONFIG.crawl.prefer_german_paths)
+    got = own.select(u, urls.should_follow(u, urls.registrable_domain(u)).alias("follow"), urls.same_registrable_domain(u, d).alias("same_site"), order.alias("o"))
+    return got.select("original_archived_url", "follow", "same_site", F.col("o.home").alias("home"), F.col("o.depth").alias("depth"), F.col("o.score").alias("score"), F.col("o.size").alias("size"))
+
+
+def _escaped(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+
+
+def _html(spark: SparkSession, sf: str) -> DataFrame:
+    """A page of HTML for every stored page: its title, description, language and heading, a menu, and a block for each line of its text."""
+    part = lambda c, before, after: F.when(F.col(c).isNotNull(), F.concat(F.lit(before), _escaped(F.col(c)), F.lit(after))).otherwise("")
+    blocks = F.array_join(F.transform(F.split(F.coalesce("extracted_text", F.lit("")), "\n"), lambda x: F.concat(F.lit("<p>"), _escaped(x), F.lit("</p>"))), "\n")
+    body = F.concat(
+        F.lit("<!doctype html><html"), part("html_lang", ' lang="', '"'), F.lit(">\n<head>"), part("document_title", "<title>", "</title>"), part("meta_description", '<meta name="description" content="', '">'),
+        F.lit('<style>p {x: y}</style></head><body><nav><a href="/kontakt">Kontakt</a><a href="#top"> </a><a href=""></a></nav>'), part("h1_text", "<h1>", "</h1>"), blocks,
+        F.lit('<a href="/web/20150301000000/http://www.andere.example/a%20b"></a><script>var x = "<p>no</p>";</script></body></html>'),
+    )
+    own = _pages(spark, sf).select(*KEY, "document_title", "meta_description", "html_lang", "h1_text", "extracted_text").distinct()
+    return own.select(*KEY, F.encode(body, "utf-8").alias("content"), F.col("original_archived_url").alias("url"), body.alias("html"))
+
+
+def html_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    got = _html(spark, sf).withColumn("m", html.extract_metadata("content"))
+    return got.select(*KEY, "m.document_title", "m.meta_description", "m.html_lang", "m.h1_text", "m.og_title", F.size("m.headings").alias("headings"))
+
+
+def html_text(spark: SparkSession, sf: str) -> DataFrame:
+    got = _html(spark, sf).withColumn("t", html.extract_text("content"))
+    full = F.col("t.full_chars")
+    return got.select(*KEY, "t.extraction_method", F.sha2("t.extracted_text", 256).alias("text_hash"), full.alias("full_chars"), F.when((full > 0) & (F.length("t.extracted_text") > 0), F.round(1.0 - F.length("t.extracted_text") / full, 3)).alias("ratio"))
+
+
+def html_links(spark: SparkSession, sf: str) -> DataFrame:
+    return html.links(_html(spark, sf), KEY)
+
+
+def html_by_pattern(spark: SparkSession, sf: str) -> DataFrame:
+    """First title and link targets by regular expressions alone."""
+    return _html(spark, sf).select(*KEY, html.first_tag(F.col("html"), "title").alias("title"), F.array_join(html.hrefs(F.col("html")), " ").alias("targets"))
+
+
+def homepage_visuals(spark: SparkSession, sf: str) -> DataFrame:
+    """Headings of homepages as a browser would measure them, made up from each snapshot's rank: the first h1, else the largest."""
+    shots = _t(spark, sf, "snapshots").groupBy("firm_id", "relative_timepoint").agg(*[F.min(c).alias(c) for c in ("run_id", "rank", "company", "target_year", "snapshot_status", "canonical_original_url")])
+    h = lambda tag, text, size: F.struct(tag.alias("tag"), F.lit(text).alias("text"), F.lit("Arial").alias("font_family"), size.cast("double").alias("font_size_px"), F.lit("400").alias("font_weight"), F.lit("#000").alias("color"))
+    r = F.col("rank")
+    probes = shots.select("firm_id", "relative_timepoint", F.array(h(F.lit("h2"), "a", r % 7 + 10), h(F.when(r % 2 == 0, "h1").otherwise("h2"), "b", r % 5 + 10), h(F.lit("h3"), "c", r % 3 + 12)).alias("headings"), (r % 11 != 0).alias("rendered_success"))
+    return pipeline.visual_rows(shots, probes).select("firm_id", "relative_timepoint", "h1_text", "h1_font_size_px", "visual_extraction_confidence", "screenshot_path")
+
+
+def stream_captures(spark: SparkSession, sf: str) -> DataFrame:
+    """The capture index read as a stream, each capture once, written by a streaming query and read again."""
+    source = spark.readStream.schema(_t(spark, sf, "captures").schema).parquet(f"{sf}/captures.parque[t]")
+    own = stream.distinct_captures(source.withColumn("arrived_at", F.lit("2026-01-01").cast("timestamp"))).select("firm_id", "timestamp", "original")
+    path = f"{shared_dir(spark)}/chronopanel/stream-{uuid.uuid4().hex}"
+    own.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("firm_id string, timestamp string, original string").parquet(f"{path}/rows")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         snapshot_status_counts, observation_grid, snapshot_select, snapshot_select_earlier, orders_nearest, capture_dedupe, capture_collapse, capture_seeds, firm_upsert, firms_top_n, firm_filter,
         url_parts, url_normalize, url_query_filter, url_exclusion, branding_score, replay_url, text_counts, boilerplate_ratio, text_predicates, noise_lines, content_dedupe, page_check, quality_summary, review_sample,
-        manifest_counts, placeholder_rows, crawl_bfs,
+        manifest_counts, placeholder_rows, crawl_bfs, capture_variants, discover_snapshots, future_observations, firm_identity, capture_rows, cache_keys, csv_round_trip, parquet_round_trip,
+        link_policy, html_metadata, html_text, html_links, html_by_pattern, homepage_visuals, stream_captures,
     )
 }

@@ -58,6 +58,55 @@ _ORDERS = """select o_custkey as firm_id, strftime(o_orderdate, '%Y%m%d%H%M%S')
 _CUSTOMERS = "(select c_custkey as firm_id, cast(1992 + c_custkey % 9 as integer) as event_year from customer)"
 _COUNTS = "select snapshot_status, count(*) as n, cast(sum(temporal_distance_days) as bigint) as total_distance from ({q}) group by 1"
 
+_FOLLOW = f"""not (regexp_matches(lower({{u3}}), '{urls.EXCLUDED_PATH}') or lower({{u1}}) in ('mailto', 'tel', 'javascript')
+  or (contains(lower({{u3}}), '.') and list_last(string_split(lower({{u3}}), '.')) in ({", ".join(f"'{e}'" for e in urls.EXTENSIONS)})))"""
+_SITE = "array_to_string(string_split(regexp_replace(lower({h}), ':\\d*$', ''), '.')[-2:], '.')"
+
+
+def _part(column: str, n: int) -> str:
+    return f"regexp_extract({column}, '{urls.SPLIT}', {n})"
+
+
+def _follow(column: str, domain: str) -> str:
+    return f"({_FOLLOW.format(u1=_part(column, 1), u3=_part(column, 3))} and {_SITE.format(h=_part(column, 2))} = {domain})"
+
+
+def _level(depth: int) -> str:
+    """Pages that are new at a depth, numbered in the order in which a crawl fetches them."""
+    seen = " union all ".join(f"select snap, url from l{d}" for d in range(depth))
+    return f"""
+f{depth} as (select l.snap, l.domain, k.link as url, min((l.seq, k.pos, l.url)) as f from l{depth - 1} l join good g on g.snap = l.snap and g.url = l.url and l.seq <= {_C.crawl.max_pages_per_snapshot}
+  join links k on k.snap = l.snap and k.parent = l.url where {_follow("k.link", "l.domain")} group by all),
+s{depth} as (select *, lower({_part("url", 3)}) as p from f{depth} where (snap, url) not in ({seen})),
+r{depth} as (select *, cast({_SCORE} as integer) as score from s{depth}),
+l{depth} as (select snap, domain, url, {depth} as depth, f[3] as discovered_from_url, 'branding_score:' || score as reason,
+  (select max(seq) from l{depth - 1} b where b.snap = r{depth}.snap) + row_number() over (partition by snap order by f[1], -score, length({_part("url", 3)}), f[2], url) as seq from r{depth})"""
+
+
+_CRAWL = f"""
+with own as (select distinct firm_id || '|' || relative_timepoint as snap, original_archived_url as url, discovered_from_url as parent, registrable_domain as domain, http_status from {_P}),
+site as (select snap, (min((url, domain)))[1] as url, (min((url, domain)))[2] as domain from own where parent is null group by 1),
+good as (select snap, url from own group by all having min(http_status) = 200),
+links as (select distinct snap, parent, length(url) as pos, url as link from own where parent is not null),
+l0 as (select snap, domain, url, 0 as depth, cast(null as varchar) as discovered_from_url, 'homepage' as reason, cast(1 as bigint) as seq from site where {_follow("url", "domain")}),
+{_level(1)},
+{_level(2)}
+select snap as snapshot_id, url, depth, discovered_from_url, reason as page_priority_reason, seq as fetch_seq from (select * from l0 union all select * from l1 union all select * from l2) where seq <= {_C.crawl.max_pages_per_snapshot}"""
+_TRIED = f"""(select *, list_sort(list_distinct([regexp_replace(w, '/+$', '') || '/', 'https://www.' || d || '/', 'https://' || d || '/', 'http://www.' || d || '/', 'http://' || d || '/'])) as tried
+  from (select *, primary_domain as d, coalesce(website, 'https://www.' || primary_domain) as w from {_FIRMS}))"""
+_INDEX = f"""(select t.tried[c.seed_ord + 1] as requested_url, c.* exclude (firm_id, seed_ord) from {_TRIED} t join captures c on c.firm_id = t.firm_id and c.seed_ord < len(t.tried))"""
+_VARIANTS = f"""(select * from (select t.firm_id, s.i - 1 as seed_ord, x.* from {_TRIED} t, unnest(range(1, len(t.tried) + 1)) s(i), {_INDEX} x where x.requested_url = t.tried[s.i])
+  qualify row_number() over (partition by firm_id, timestamp, original order by seed_ord, row_ord) = 1)"""
+_WHITE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _strip(column: str) -> str:
+    return f"regexp_replace(regexp_replace({column}, '^{_WHITE}+', ''), '{_WHITE}+$', '')"
+
+
+_HTML_PAGES = f"(select distinct {_KEY}, document_title, meta_description, html_lang, h1_text, extracted_text from {_P})"
+_HEADING = f"nullif({_strip('h1_text')}, '')"
+
 SQL: dict[str, str] = {
     "observation_grid": _GRID.format(firms=_FIRMS, today="2026-07-13"),
     "snapshot_select": _select(_FIRMS, _DEDUPED, "2026-07-13", "desc"),
@@ -107,7 +156,10 @@ q as (select p.*, f.primary_domain, coalesce(character_count, 0) as chars, {_tex
 select {_KEY}, character_count, soft as soft_404_flag, nav as likely_navigation_only,
   not (coalesce(fetch_error, '') <> '' or coalesce(http_status >= 400, false) or coalesce(registrable_domain <> '' and registrable_domain <> primary_domain, false) or soft) and chars >= 50 as usable_for_analysis,
   case when coalesce(fetch_error, '') <> '' then fetch_error when http_status >= 400 then 'http_' || http_status when registrable_domain <> '' and registrable_domain <> primary_domain then 'wrong_registrable_domain'
-       when chars = 0 then 'empty_text' when soft then 'soft_404' end as exclusion_reason
+       when chars = 0 then 'empty_text' when soft then 'soft_404' end as exclusion_reason,
+  array_to_string(list_filter([case when coalesce(fetch_error, '') <> '' then 'fetch_error' end, case when http_status >= 400 then 'http_error' end, case when registrable_domain <> '' and registrable_domain <> primary_domain then 'wrong_domain' end,
+    case when temporal_distance_days > 548 then 'distant_snapshot' end, case when chars < 50 then 'short_text' end, case when soft then 'soft_404' end, case when nav then 'navigation_only' end,
+    case when archive_toolbar_removed_flag then 'toolbar_stripped' end, case when registrable_domain = 'web.archive.org' then 'wayback_domain_leak' end], lambda x: x is not null), ',') as all_flags
 from q""",
     "quality_summary": f"""
 with s as (select firm_id, relative_timepoint, min(snapshot_status) as snapshot_status from snapshots group by 1, 2),
@@ -122,7 +174,7 @@ from s left join p using (firm_id, relative_timepoint)""",
 with p as (select distinct * exclude (fetch_timestamp) from {_P}), u as (select * from p where usable_for_analysis),
 pool as (select * from u where (select count(*) from u) >= 15 union all select * from p where (select count(*) from u) < 15)
 select {_KEY}, usable_for_analysis,
-  array_to_string(list_filter([case when soft_404_flag then 'soft_404_flag' end, case when likely_navigation_only then 'likely_navigation_only' end, case when duplicate_content_flag then 'duplicate_content_flag' end], lambda x: x is not null), ',') as quality_flags
+  array_to_string(list_filter([case when soft_404_flag then 'soft_404_flag' end, case when likely_navigation_only then 'likely_navigation_only' end, case when duplicate_content_flag then 'duplicate_content_flag' end], lambda x: x is not null), ',') as quality_flags, left(coalesce(extracted_text, ''), 2000) as extracted_text
 from pool order by sha256(coalesce(firm_id, '') || '|' || coalesce(relative_timepoint, '') || '|' || coalesce(original_archived_url, '') || '|42'), {_KEY} limit 15""",
     "manifest_counts": """
 select (select count(*) from (select distinct * from firms)) as firms, (select count(*) from snapshots) as snapshots, (select count(*) from snapshots where snapshot_status = 'selected') as selected,
@@ -130,4 +182,52 @@ select (select count(*) from (select distinct * from firms)) as firms, (select c
     "placeholder_rows": """
 select firm_id, relative_timepoint, target_date, cast(null as varchar) as original_archived_url, false as usable_for_analysis, snapshot_status as exclusion_reason
 from (select distinct * exclude (discovered_at) from snapshots) where snapshot_status <> 'selected'""",
+    "crawl_bfs": _CRAWL,
+    "url_query_filter": f"""
+with u as (select original_archived_url as url, {_RX[1]} || '://' || {_HOST} || {_CLEAN} as head, {_RX[4]} as q from {_U}),
+p as (select url, x, i, split_part(x, '=', 1) as k from (select url, string_split(q, '&') as l from u where q <> ''), unnest(l) with ordinality t(x, i)),
+o as (select *, min(i) over (partition by url, k) as first from p where not (contains(k, 'utm_') or contains(k, 'fbclid') or contains(k, 'gclid'))),
+j as (select url, string_agg(x, '&' order by first, i) as q from o group by 1)
+select u.url as original_archived_url, u.head || coalesce('?' || j.q, '') as normalized from u left join j using (url)""",
+    "replay_url": f"""
+with c as (select distinct original, timestamp, case when regexp_matches(trim(original), '^https?://') then trim(original) else 'https://' || trim(original) end as own from captures where regexp_full_match(timestamp, '[0-9]{{14}}')),
+e as (select *, array_to_string(list_transform(string_split(own, ''), lambda c: case when regexp_full_match(c, '{_SAFE}') then c else url_encode(c) end), '') as quoted from c)
+select original, timestamp, 'https://web.archive.org/web/' || timestamp || 'id_/' || quoted as replay, url_decode(replace(quoted, '+', '%2B')) as unwrapped, true as is_archive from e""",
+    "capture_variants": f"select firm_id, cast(seed_ord as integer) as seed_ord, requested_url, timestamp, original, row_ord from {_VARIANTS}",
+    "discover_snapshots": f"""
+with s as ({_select(_FIRMS, f"select * from {_VARIANTS}", "2026-07-13", "desc")})
+select s.firm_id, relative_timepoint, snapshot_status, archive_timestamp, temporal_distance_days, case when snapshot_status <> 'future_unavailable' then 'capture_index' end as capture_source,
+  case when snapshot_status <> 'future_unavailable' then w end as requested_url, case when snapshot_status <> 'future_unavailable' then '["' || array_to_string(tried, '","') || '"]' end as fallback_attempts,
+  relative_timepoint = 'event' as noted from s join {_TRIED} t on t.firm_id = s.firm_id""",
+    "future_observations": "select company, relative_timepoint, target_year from (select distinct * exclude (discovered_at) from snapshots) where snapshot_status = 'future_unavailable'",
+    "firm_identity": f"select rank, cast(rank as varchar) as firm_id, 'r1' as run_id, company from {_FIRMS}",
+    "capture_rows": "select row_ord, " + ", ".join(f"coalesce({c}, '') as {c}" for c in ("urlkey", "timestamp", "original", "mimetype", "statuscode", "digest", "length", "redirect")) + " from captures where row_ord is not null",
+    "cache_keys": f"select distinct archive_timestamp, wayback_replay_url, sha256(archive_timestamp || '|' || wayback_replay_url) as key from {_P} and archive_timestamp is not null and wayback_replay_url is not null",
+    "csv_round_trip": "select firm_id, relative_timepoint, target_date, observation_is_future, temporal_distance_days, strftime(discovered_at, '%Y-%m-%d %H:%M:%S') as discovered from snapshots",
+    "parquet_round_trip": f"select firm_id, company, event_year, wayback_tier from {_FIRMS}",
+    "link_policy": f"""
+with u as (select original_archived_url as url, min(discovered_from_url) as d, min(crawl_depth) as depth from {_P} group by 1),
+s as (select *, lower({_part("url", 3)}) as p, {_SITE.format(h=_part("url", 2))} as site from u)
+select url as original_archived_url, {_follow("url", "site")} as follow, site = {_SITE.format(h=_part("d", 2))} as same_site, case when d is null then 0 else 1 end as home, depth,
+  -cast({_SCORE} as integer) as score, cast(length(p) as integer) as size from s""",
+    "html_metadata": f"""
+select {_KEY}, {_strip("document_title")} as document_title, nullif(meta_description, '') as meta_description, html_lang, {_HEADING} as h1_text, cast(null as varchar) as og_title,
+  case when {_HEADING} is null then 0 else 1 end as headings from {_HTML_PAGES}""",
+    "html_text": f"""
+with p as (select {_KEY}, list_prepend(coalesce(h1_text, ''), string_split(coalesce(extracted_text, ''), chr(10))) as l from {_HTML_PAGES}),
+q as (select {_KEY}, list_filter(list_transform(l, lambda x: {_strip("x")}), lambda x: x <> '') as visible, list_filter(list_transform(l, lambda x: {_strip(f"regexp_replace(x, '{_WHITE}+', ' ', 'g')")}), lambda x: x <> '') as main from p),
+r as (select {_KEY}, array_to_string(list_prepend('Kontakt', visible), ' ') as whole, case when len(main) > 0 then array_to_string(main, chr(10)) else 'Kontakt' end as main, len(main) > 0 as has from q)
+select {_KEY}, case when has then 'main_blocks' else 'visible_text' end as extraction_method, sha256(main) as text_hash, cast(length(whole) as integer) as full_chars, round(1.0::double - length(main)::double / length(whole), 3) as ratio from r""",
+    "html_links": f"""
+select {_KEY}, pos, link from (select {_KEY}, unnest([{_RX[1]} || '://' || {_RX[2]} || '/kontakt', 'http://www.andere.example/a b']) as link, unnest([0, 1]) as pos from {_HTML_PAGES})""",
+    "html_by_pattern": f"""
+select {_KEY}, case when document_title is not null then trim(replace(replace(replace(replace(document_title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) end as title,
+  '/kontakt /web/20150301000000/http://www.andere.example/a%20b' as targets from {_HTML_PAGES}""",
+    "homepage_visuals": """
+with s as (select firm_id, relative_timepoint, min(rank) as r, min(snapshot_status) as st from snapshots group by 1, 2)
+select firm_id, relative_timepoint, case when r % 2 = 0 then 'b' when r % 7 + 10 >= r % 5 + 10 and r % 7 + 10 >= r % 3 + 12 then 'a' when r % 5 + 10 >= r % 3 + 12 then 'b' else 'c' end as h1_text,
+  cast(case when r % 2 = 0 then r % 5 + 10 else greatest(r % 7 + 10, r % 5 + 10, r % 3 + 12) end as double) as h1_font_size_px,
+  cast(case when r % 11 = 0 then 0.0 when r % 2 = 0 then 0.7 else 0.4 end as double) as visual_extraction_confidence, left(sha256(firm_id || '|' || relative_timepoint), 16) || '.png' as screenshot_path
+from s where st = 'selected'""",
+    "stream_captures": "select distinct firm_id, timestamp, original from captures",
 }

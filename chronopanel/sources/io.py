@@ -65,14 +65,18 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def manifest(config: Config, firms: DataFrame, snapshots: DataFrame, pages: DataFrame, created_at: str, commit: str | None = None) -> dict:
-    """Settings and counts of a run; one row comes to the driver."""
-    counts = (
+def counts(firms: DataFrame, snapshots: DataFrame, pages: DataFrame) -> DataFrame:
+    """One row with the numbers of firms, snapshots, selected snapshots, pages and usable pages."""
+    return (
         firms.agg(F.count(F.lit(1)).alias("firms"))
         .crossJoin(snapshots.agg(F.count(F.lit(1)).alias("snapshots"), F.count_if(F.col("snapshot_status") == "selected").alias("selected_snapshots")))
         .crossJoin(pages.agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.coalesce("usable_for_analysis", F.lit(False))).alias("usable_pages")))
-    )
-    return {"run_id": config.run_id, "created_at": created_at, "git_commit": commit, "config": dataclasses.asdict(config), "counts": counts.first().asDict()}
+    )
+
+
+def manifest(config: Config, firms: DataFrame, snapshots: DataFrame, pages: DataFrame, created_at: str, commit: str | None = None) -> dict:
+    """Settings and counts of a run; one row comes to the driver."""
+    return {"run_id": config.run_id, "created_at": created_at, "git_commit": commit, "config": dataclasses.asdict(config), "counts": counts(firms, snapshots, pages).first().asDict()}
 
 
 def write_manifest(values: dict, path: str | Path) -> None:
@@ -80,6 +84,11 @@ def write_manifest(values: dict, path: str | Path) -> None:
     Path(path).write_text(json.dumps(values, indent=2, ensure_ascii=False, default=str), encoding="utf-8")
 
 
+def future_rows(snapshots: DataFrame) -> DataFrame:
+    """Observations whose target lies after the run's date."""
+    return snapshots.where(F.col("snapshot_status") == "future_unavailable").select("company", "relative_timepoint", "target_year")
+
+
 def report(snapshots: DataFrame, summary: DataFrame, run_id: str, created_at: str) -> str:
     """Coverage report in Markdown. It lists every snapshot, so it is meant for runs of the size a person reads."""
     rows = snapshots.orderBy("rank", "target_year").select("company", "relative_timepoint", "target_year", "snapshot_status", "temporal_distance_days").collect()

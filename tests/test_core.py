@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import warnings
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,3 +205,28 @@ def test_run_end_to_end(spark):
     assert got["http://www.example.de/ueber-uns"]["crawl_depth"] == 1 and got["http://www.example.de/ueber-uns"]["usable_for_analysis"] and got["http://www.example.de/"]["page_priority_reason"] == "homepage"
     assert len(pages.columns) == 63 and pages.where("exclusion_reason = 'beyond_tolerance'").count() >= 1
     assert quality.summarize(shots, pages).count() == 5
+
+
+def test_config_reads_other_section_names(tmp_path):
+    path = tmp_path / "c.yaml"
+    path.write_text("run:\n  top_n: 7\n  input_csv: in/firms.csv\n  run_id: null\nsnapshot_selection:\n  tolerance_days: 90\n  prefer: [closest]\ncrawl:\n  mode: homepage_only\n  throttle_seconds: 2.0\nvisual:\n  enabled: true\n", encoding="utf-8")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        got = Config.from_yaml(path).resolve(tmp_path)
+    assert (got.top_n, got.selection.tolerance_days, got.crawl.homepage_only, got.run_id) == (7, 90, True, "run")
+    assert got.input_csv == str(tmp_path / "in/firms.csv") and got.reports_dir == str(tmp_path / "reports") and got.output_dir == str(tmp_path / "out")
+    with pytest.warns(UserWarning, match="tolerance"):
+        Config.from_dict({"selection": {"tolerance": 1}})
+    assert Config.from_dict(None).selection.url_variants[1] == "http://www.{domain}/"
+
+
+def test_nearest_counts_candidates_without_date(spark):
+    captures_ = rows(spark, "20150615120000", "", "20150615120000", "20150621000000")
+    got = asof.nearest(observed(spark, dt.date(2015, 6, 20)).withColumn("_row", F.lit(1)), captures_.withColumn("d", asof.capture_date(F.col("timestamp"))), ["firm_id"], "target_date", "d", 5, [F.col("r.seed_ord"), F.col("r.row_ord")]).first()
+    assert (got["candidates"], got["near"], got["best"]["row_ord"]) == (4, 3, 3)
+
+
+def test_html_stage_on_odd_pages(spark):
+    for page in (b"<title>a<title>b</title>", b"<h2>x<h1>y</h2></h1><p>z", b"<script><p>no</p></script>", b"\xff\xfe<p>\xe4", b"<<<>>>", b"<html lang><meta name=description><link rel=canonical>"):
+        html.metadata_of(page), html.text_of(page), html.read(page).links
+    assert html.text_of(b"<nav>nur Menue</nav>") == {"extracted_text": "nur Menue", "extraction_method": "visible_text", "full_chars": 9}
