@@ -65,19 +65,40 @@ def test_repeated_lines_equal_brute_force(spark):
     assert all("a" not in t.split("\n") for t in kept.values())
 
 
-def test_blocks_equal_brute_force(spark):
+@pytest.mark.parametrize("pieces", [1, 5, 40])
+def test_blocks_equal_brute_force(spark, pieces):
     rng = random.Random(8)
-    docs = [[rng.choice([1, 2, 3]) for _ in range(rng.randint(1, 6))] for _ in range(50)]
-    runs = spark.createDataFrame([("s", (i, i), 1, d) for i, d in enumerate(docs)], "source string, doc struct<a: long, b: long>, first int, ids array<long>")
-    got = {tuple(r["block"]): r["occurrences"] for r in lines.blocks(runs).collect()}
+    docs = [[[rng.choice([1, 2, 3]) for _ in range(rng.randint(1, 6))] for _ in range(rng.randint(1, 2))] for _ in range(50)]
+    rows = [(src, i, i, [(0, 10 * r + k, x) for r, run in enumerate(d) for k, x in enumerate(run)]) for src in (1, 2) for i, d in enumerate(docs) if src == 1 or i % 2]
+    runs = spark.createDataFrame(rows, "s long, a long, b long, seq array<struct<u: long, k: int, id: long>>")
+    weighted = lines.weighted(runs)
+    array = weighted.repartitionByRange(pieces, "s", "ids").sortWithinPartitions("s", "ids").mapInPandas(lines._scan(8), "s long, block array<long>, n long")
+    got = {(r["s"], tuple(r["block"])): r["n"] for r in array.groupBy("s", "block").agg(F.sum("n").alias("n")).where("n >= 8").collect()}
     count = {}
-    for d in docs:
-        for i in range(len(d)):
-            for j in range(i + 1, len(d) + 1):
-                count[tuple(d[i:j])] = count.get(tuple(d[i:j]), 0) + 1
-    assert got and all(count[b] == n for b, n in got.items()) and {b for b in count if len(b) == 1 and count[b] >= 8} <= set(got)
-    longer = lambda b: max((count.get((*b, x), 0) for x in (1, 2, 3)), default=0)
+    for s, i, _, _ in rows:
+        for b in {tuple(run[x:y]) for run in docs[i] for x in range(len(run)) for y in range(x + 1, len(run) + 1)}:
+            count[s, b] = count.get((s, b), 0) + 1
+    assert got and all(count[b] == n for b, n in got.items()) and {b for b in count if len(b[1]) == 1 and count[b] >= 8} <= set(got)
+    longer = lambda b: max((count.get((b[0], (*b[1], x)), 0) for x in (1, 2, 3)), default=0)
     assert {b for b, n in count.items() if n >= 8 and longer(b) < n} <= set(got)
+    if pieces == 5:
+        assert {(r["s"], tuple(r["block"])): r["docs"] for r in lines.blocks(weighted).collect()}.items() >= {b: n for b, n in count.items() if n >= 8 and longer(b) < n}.items()
+
+
+def test_long_runs_give_linear_suffixes():
+    run = list(range(1, 3001))
+    got = lines.suffixes([[run]] * 9)
+    assert len(got) == 3000 and max(map(len, got)) == lines.LONGEST and set(got.values()) == {9}
+    assert lines.suffixes([[[1, 1, 1]]]) == {(1, 1, 1): 1} and lines.suffixes([]) == {}
+
+
+def test_a_line_twice_on_one_page_counts_once(spark):
+    rows = [page(i, "a\na\nb\na") for i in range(7)]
+    assert lines.found(table(spark, rows)).count() == 0
+    rows.append(page(7, "x\n\ta "))
+    assert {tuple(r) for r in lines.found(table(spark, rows)).collect()} == {("a.de", "a")}
+    got = {r["original_archived_url"]: (r["text"], r["removed_lines"]) for r in lines.cleaned(table(spark, [*rows, page(8, "a", None)])).collect()}
+    assert got["http://a.de/0"] == ("b", 3) and got["http://a.de/7"] == ("x", 1) and got["http://None/8"] == ("a", 0)
 
 
 def test_languages(spark, words):
