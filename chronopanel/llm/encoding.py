@@ -2,8 +2,9 @@
 
 A *channel* is a pair (encoding the bytes were in, encoding they were read in). A damaged token is turned back into bytes by the second and
 laid out as a lattice by the first, and whole words are weighed by their frequency in the corpus, in which the true word is commoner than its
-damaged form. A replacement character is a lost byte: every word of the corpus that fits the rest of the token is a reading, and without one
-the token stays as it is. A Viterbi search runs over the suspicious tokens of a field, with one state for each channel, as damage comes in
+damaged form. A replacement character is a lost byte: a wildcard in the lattice of each channel, or in the text as it stands. Every word of the
+corpus that fits the rest of the token is a reading; without one a channel's lattice is decoded by letter frequencies, and a token that no
+channel explains stays as it is. A Viterbi search runs over the suspicious tokens of a field, with one state for each channel, as damage comes in
 stretches of one channel.
 """
 
@@ -13,10 +14,11 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import pairwise
+from itertools import pairwise, product
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ CHANNELS = (
 LOST_BYTES = len(CHANNELS)  # the channel that only loses bytes
 #: Greatest share of a word's uses that one channel has damaged: so many uses of a damaged form say nothing for it.
 DAMAGED_SHARE = 0.02
-#: Log cost of a token that is sound as it stands inside a damaged stretch, and the most that a reading without letters can gain.
+#: Log cost of a token that is sound as it stands inside a damaged stretch, and the most that a reading without letters can gain over a mark.
 SOUND, MARK_GAIN = 2.0, 1.0
 #: Log costs: being damaged at all, changing the channel, a word that the corpus lacks from a channel of single bytes; log gain of bytes that form UTF-8.
 DAMAGE, SWITCH, UNSEEN, VALID = 3.0, 4.0, 6.0, 7.0
@@ -57,7 +59,22 @@ def _single(name: str) -> tuple[dict[str, int], dict[int, str]]:
     return {c: b for b, c in back.items()}, back
 
 
-_CODE = {x: _single(x) for x in {"cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp850", "cp437"}}
+_NAMES = ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp850", "cp437")
+
+
+def _undefined(name: str) -> tuple[int, ...]:
+    out = []
+    for b in range(0x80, 0xC0):
+        try:
+            bytes([b]).decode(name)
+        except UnicodeDecodeError:
+            out.append(b)
+    return tuple(out)
+
+
+#: Continuation bytes that an encoding doesn't know.
+_UNDEFINED = {x: _undefined(x) for x in _NAMES}
+_CODE = {x: _single(x) for x in _NAMES}
 
 
 #: Opening and closing quotes that end a token, unless they are what a wrong decoding made of a letter.
@@ -115,25 +132,62 @@ def undo(token: str, channel: int) -> str | None:
     return out if out and out != token and all(c.isprintable() or c == "\xa0" for c in out) else None
 
 
-def lattice(token: str, letters: dict[str, float]) -> list[list[tuple[str, float]]]:
-    """One column for each character of ``token``: the character itself, or for a lost byte every letter with its log frequency."""
-    return [sorted(letters.items(), key=lambda x: -x[1])[:40] if c == LOST else [(c, 0.0)] for c in token]
+def wild_columns(token: str, channel: int) -> list[tuple[str, ...]] | None:
+    """The byte lattice of a token with lost bytes under a channel from UTF-8, one column of possible characters each; null if the channel can't have made the token.
+
+    A lost byte stands for any byte, first of all those that the reading encoding leaves undefined, as these are what is lost; the others only count
+    where none of these completes a character.
+    """
+    true, read = CHANNELS[channel]
+    if true != "utf-8":
+        return None
+    table = _CODE[read][0]
+    raw: list[int | None] = []
+    for c in token:
+        b = None if c == LOST else table.get(c)
+        if b is None and c != LOST:
+            return None
+        raw.append(b)
+    out: list[tuple[str, ...]] = []
+    decoded = False
+    i = 0
+    while i < len(raw):
+        lead = raw[i]
+        if lead is None:
+            return None  # a character whose first byte is lost is left to the words of the corpus
+        size = 1 if lead < 0x80 else 2 if 0xC2 <= lead < 0xE0 else 3 if 0xE0 <= lead < 0xF0 else 4 if 0xF0 <= lead < 0xF5 else 0
+        part = raw[i : i + size]
+        if not size or len(part) < size or any(b is not None and not 0x80 <= b < 0xC0 for b in part[1:]):
+            return None
+        for choices in (_UNDEFINED[read], range(0x80, 0xC0)):
+            found = []
+            for tail in product(*[(b,) if b is not None else choices for b in part[1:]]):
+                try:
+                    c = bytes((lead, *tail)).decode("utf-8")
+                except UnicodeDecodeError:
+                    continue
+                if c.isprintable() or c == "\xa0":
+                    found.append(c)
+            if found:
+                break
+        if not found:
+            return None
+        decoded |= size > 1
+        out.append(tuple(found))
+        i += size
+    return out if decoded else None
 
 
-def best_paths(columns: list[list[tuple[str, float]]], width: int = 24) -> list[tuple[str, float]]:
-    """The ``width`` best paths by Viterbi search with that many survivors; a word keeps to one case of lost letters by its neighbours' case."""
-    paths = [("", 0.0)]
+def best_path(columns: list[tuple[str, ...]], letter: dict[str, float]) -> str:
+    """The likeliest path through a lattice by Viterbi search under letter frequencies; a capital after a small letter costs."""
+    best: dict[str, tuple[float, str]] = {"": (0.0, "")}
     for column in columns:
-        grown = []
-        for text, score in paths:
-            last = text[-1:]
-            for c, s in column:
-                if len(column) > 1 and c.isalpha() and last.isalpha() and c.isupper() != last.isupper() and last.islower():
-                    s -= 6.0
-                grown.append((text + c, score + s))
-        grown.sort(key=lambda x: -x[1])
-        paths = grown[:width]
-    return paths
+        new: dict[str, tuple[float, str]] = {}
+        for c in column:
+            own = letter.get(c, -14.0) if len(column) > 1 else 0.0
+            new[c] = max(((score + own - (6.0 if last.islower() and c.isupper() and len(column) > 1 else 0.0), text + c) for last, (score, text) in best.items()), key=lambda x: x[0])
+        best = new
+    return max(best.values(), key=lambda x: x[0])[1]
 
 
 #: Characters that a lost byte may have belonged to: Latin letters beyond ASCII, marks and symbols.
@@ -159,17 +213,49 @@ def fits(token: str, word: str) -> bool:
     return all(undo(word, k) is None for k, (t, _) in enumerate(CHANNELS) if t in ("utf-8", "twice"))
 
 
-def readings(token: str, letters: dict[str, float]) -> list[tuple[int, str]]:
-    """``(channel, what the token may have been)``. For lost bytes these are spellings, the token itself last; :func:`lost_words` asks the corpus."""
-    if LOST in token:
-        clean = re.sub(f"{LOST}{{2,}}", lambda m: LOST * max(1, len(m.group()) // 2), token)
-        forms = {token} if clean == token else {token, clean}
-        return [(LOST_BYTES, text) for form in sorted(forms) for text, _ in best_paths(lattice(form, letters))] + [(LOST_BYTES, token)]
-    out = []
+def readings(token: str) -> list[tuple[int, str]]:
+    """``(channel, what the token was)`` for every channel that can have made a token without lost bytes."""
+    return [(k, got) for k in range(len(CHANNELS)) if (got := undo(token, k)) is not None]
+
+
+class Pattern(NamedTuple):
+    """What a token with lost bytes may be: its text with each open character as a replacement character, and the characters that may stand in its place (null: any)."""
+
+    channel: int
+    text: str
+    columns: list[tuple[str, ...]] | None
+
+
+def patterns(token: str) -> list[Pattern]:
+    """The token as it stands, and what every channel's lattice leaves open."""
+    out = [Pattern(LOST_BYTES, token, None)]
     for k in range(len(CHANNELS)):
-        got = undo(token, k)
-        if got is not None:
-            out.append((k, got))
+        columns = wild_columns(token, k)
+        if columns:
+            out.append(Pattern(k, "".join(c[0] if len(c) == 1 else LOST for c in columns), columns))
+    return out
+
+
+_ALNUM = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+_BEYOND = re.compile(r"[^\x00-\x7f]")
+_FROM = re.compile(rf"(?:[^\x00-\x7f{MARKS}]|{_mark()}){_REST}(?:{_mark()}{_REST})*+")
+
+
+def spans(text: str) -> list[tuple[int, int]]:
+    """Start and end of every match of ``TOKEN``, found from its first character beyond ASCII, so that ASCII text costs nothing."""
+    out: list[tuple[int, int]] = []
+    end = 0
+    while (m := _BEYOND.search(text, end)) is not None:
+        at = m.start()
+        got = _FROM.match(text, at)
+        if got is None:
+            end = at + 1
+            continue
+        start = at
+        while start > end and text[start - 1] in _ALNUM:
+            start -= 1
+        end = got.end()
+        out.append((start, end))
     return out
 
 
@@ -178,8 +264,14 @@ def fields(table: DataFrame) -> DataFrame:
     have = [f for f in FIELDS if f in table.columns]
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in have]))
     rows = table.where(F.col("original_archived_url").isNotNull()).select(pages.page_id().alias("pid"), each.alias("x"))
-    found = F.regexp_extract_all(F.col("x.text"), F.lit(TOKEN), F.lit(0))
-    return rows.where(F.col("x.text").rlike(r"[^\x00-\x7f]")).select("pid", "x.field_name", found.alias("tokens"))
+    own = rows.where(F.col("x.text").rlike(r"[^\x00-\x7f]")).select("pid.a", "pid.b", "x.field_name", "x.text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [[t[i:j] for i, j in spans(t)] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "field_name")), pa.array(tokens, pa.list_(pa.string()))], names=["a", "b", "field_name", "tokens"])
+
+    return own.mapInArrow(cut, "a long, b long, field_name string, tokens array<string>").select(F.struct("a", "b").alias("pid"), "field_name", "tokens")
 
 
 class Model(NamedTuple):
@@ -213,7 +305,7 @@ def suspicious(freq: DataFrame) -> DataFrame:
             out = []
             for token, n in zip(batch["token"], batch["n"], strict=True):
                 spelled = model.spelled(token)
-                for channel, text in readings(token, {}):
+                for channel, text in readings(token):
                     out.append((token, int(n), spelled, channel, text, model.spelled(text)))
             yield pd.DataFrame(out, columns=["token", "n", "spelled", "channel", "text", "text_spelled"])
 
@@ -225,27 +317,45 @@ def suspicious(freq: DataFrame) -> DataFrame:
     score = log_p(F.col("text_n"), F.col("text_spelled")) + F.when(utf8, VALID).when((F.col("text_n") == 0) | (F.col("text_spelled") < F.col("spelled")), -UNSEEN).otherwise(0.0)
     own = F.col("n") - 1 - F.least(F.col("n") - 1, F.max(F.col("text_n") * DAMAGED_SHARE).over(Window.partitionBy("token")))
     clean = log_p(own, F.col("spelled"))
-    mark = ~utf8 & ~F.col("text").rlike(r"\p{L}")
+    mark = ~utf8 & ~F.col("text").rlike(r"\p{L}") & ~F.col("token").rlike(r"^\p{L}+$")
     best = both.withColumn("clean", clean).withColumn("score", F.when(mark, F.least(score, F.col("clean") + MARK_GAIN)).otherwise(score))
     best = best.where(F.col("score") > F.col("clean") - SLACK)
     best = best.groupBy("token").agg(F.first("clean").alias("clean"), F.collect_list(F.struct("channel", "score", "text")).alias("options"))
-    return best.unionByName(lost_words(freq.where(is_lost), freq.where(~is_lost)))
+    return best.unionByName(lost_words(freq.where(is_lost), freq.where(~is_lost), model))
 
 
-def lost_words(lost: DataFrame, words: DataFrame) -> DataFrame:
-    """``token, clean, options`` for tokens with lost bytes: the commonest word that fits, of all ``words``, else the token itself."""
-    lost = lost.select("token", frame(F.col("token")).alias("frame"))
+def lost_words(lost: DataFrame, words: DataFrame, model: Model) -> DataFrame:
+    """``token, clean, options`` for tokens with lost bytes: the commonest word that fits one of its :func:`patterns`, of all ``words``; without one what
+    a channel's lattice gives by letter frequencies; else the token itself."""
+
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for token in batch["token"]:
+                for x in patterns(token):
+                    out.append((token, x.channel, x.text, best_path(x.columns, model.letter) if x.columns else None))
+            yield pd.DataFrame(out, columns=["token", "channel", "pattern", "likely"])
+
+    open_ = lost.select("token").mapInPandas(expand, "token string, channel int, pattern string, likely string")
     words = words.select(F.col("token").alias("text"), "n", frame(F.col("token")).alias("frame"))
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[[fits(t, w) for t, w in zip(batch["token"], batch["text"], strict=True)]]
+            keep = [fits(p, w) if k == LOST_BYTES else _inside(t, k, w) for t, k, p, w in zip(batch["token"], batch["channel"], batch["pattern"], batch["text"], strict=True)]
+            yield batch[keep][["token", "text", "n"]]
 
-    pairs = lost.join(words, "frame").select("token", "text", "n").mapInPandas(fit, "token string, text string, n long")
+    pairs = open_.withColumn("frame", frame(F.col("pattern"))).join(words, "frame").select("token", "channel", "pattern", "text", "n").mapInPandas(fit, "token string, text string, n long")
     top = pairs.groupBy("token").agg(F.max(F.struct("n", "text")).alias("top"))
-    text, n = F.coalesce("top.text", "token"), F.coalesce("top.n", F.lit(0))
+    own = open_.groupBy("token").agg(F.min_by("likely", F.when(F.col("likely").isNotNull(), F.col("channel"))).alias("likely"))
+    text, n = F.coalesce("top.text", "likely", "token"), F.coalesce("top.n", F.lit(0))
     option = F.struct(F.lit(LOST_BYTES).alias("channel"), F.log(n + 1.0).alias("score"), text.alias("text"))
-    return lost.join(top, "token", "left").select("token", F.lit(-99.0).alias("clean"), F.array(option).alias("options"))
+    return own.join(top, "token", "left").select("token", F.lit(-99.0).alias("clean"), F.array(option).alias("options"))
+
+
+def _inside(token: str, channel: int, word: str) -> bool:
+    """Whether a word is a path through the lattice of a channel."""
+    columns = wild_columns(token, channel)
+    return columns is not None and len(columns) == len(word) and all(c in x for c, x in zip(word, columns, strict=True))
 
 
 def decide(tokens: list[tuple[int, float, list[tuple[int, float, str]]]]) -> dict[int, str]:
@@ -325,16 +435,11 @@ def restored(table: DataFrame) -> DataFrame:
     return rows.mapInPandas(put, f"{pages.KEY_SCHEMA}, field_name string, text string, restored string").distinct()
 
 
-_JAVA_TOKEN = re.compile(TOKEN)
-
-
 def apply(text: str, changes: dict[int, str]) -> str:
     """``text`` with its tokens beyond ASCII of the given numbers replaced."""
-    n = -1
-
-    def one(m: re.Match[str]) -> str:
-        nonlocal n
-        n += 1
-        return changes.get(n, m.group())
-
-    return _JAVA_TOKEN.sub(one, text)
+    out, before = [], 0
+    for n, (i, j) in enumerate(spans(text)):
+        if n in changes:
+            out += [text[before:i], changes[n]]
+            before = j
+    return "".join([*out, text[before:]])

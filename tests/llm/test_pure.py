@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -100,7 +101,7 @@ def test_every_channel_is_undone(channel):
 
 def test_clean_words_are_left_and_lost_letters_found():
     assert all(encoding.undo("São", k) is None for k, (t, _) in enumerate(encoding.CHANNELS) if t in ("utf-8", "twice"))
-    assert ("für" in [t for _, t in encoding.readings("f�r", {"ü": -2.0, "ä": -2.1, "é": -3.0})])
+    assert encoding.best_path([("f",), ("ä", "ü", "é"), ("r",)], {"ü": -2.0, "ä": -2.1, "é": -3.0}) == "für"
     assert encoding.decide([]) == {}
     assert encoding.apply("a für b MÃ¼ c", {1: "Mü"}) == "a für b Mü c"
 
@@ -158,10 +159,14 @@ def test_template_words():
     assert len(windows) == 4 and leak.NUMBER in windows[0][4] and "altdorf" in items.names
 
 
+def tokens_of(text):
+    return [text[i:j] for i, j in encoding.spans(text)]
+
+
 def test_quotes_made_by_a_wrong_decoding_stay_in_their_token():
     for true, bad in (("–", "â€“"), ("ideeën", "ideeÃ«n"), ("Ärger", "Ã„rger"), ("cœur", "cÅ“ur"), ("™", "â„¢"), ("Öl", "Ãƒâ€“l"), ("–", "вЂ“"), ("São", "S„o"), ("später", "sp„ter"), ("©î", "┬®├«")):
-        assert encoding._JAVA_TOKEN.findall(f"a {bad} b") == [bad] and true in [x for _, x in encoding.readings(bad, {})]
-    assert encoding._JAVA_TOKEN.findall("„Größe“ «État» „Spaß“ „Café“ CAFÉ“ »MENÜ« „a“") == ["Größe", "État»", "Spaß", "Café", "CAFÉ", "»MENÜ"]
+        assert tokens_of(f"a {bad} b") == [bad] and true in [x for _, x in encoding.readings(bad)]
+    assert tokens_of("„Größe“ «État» „Spaß“ „Café“ CAFÉ“ »MENÜ« „a“") == ["Größe", "État»", "Spaß", "Café", "CAFÉ", "»MENÜ"]
 
 
 def test_long_lines_are_judged_as_a_whole():
@@ -252,3 +257,22 @@ def test_letters_of_other_scripts_are_near_no_language():
     de = "der die das und nicht mit von auf für ist ein eine werden durch über "
     model = hdlang.train({k: np.bincount(hdlang.cells(t * 3), minlength=hdlang.CELLS).astype(float) for k, t in (("de", de), ("en", "the of and to in is that with for was this have "))})
     assert abs(model.each(["Наша компания производит станки и детали для всех заводов страны"])[0]).max() < 0.07 < model.each([de])[0].max()
+
+
+def test_tokens_equal_their_pattern():
+    rng = random.Random(6)
+    signs = "aZ9 .,(äÃ«„“»Å“â€™¬–\ufffd\nÐ\U0001f600"
+    for _ in range(3000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 25)))
+        assert tokens_of(text) == [m.group() for m in re.finditer(encoding.TOKEN, text)]
+
+
+@pytest.mark.parametrize(("bad", "true"), [("â€\ufffd", "”"), ("Ã\ufffdda", "Ída"), ("KÃ¶nigâ€\ufffd", "König”"), ("â\ufffd\ufffd", "–")])
+def test_lost_bytes_are_wildcards_of_the_channel(bad, true):
+    letter = {"”": -3.0, "Í": -6.0, "Á": -6.5, "ö": -2.0, "–": -2.5}
+    assert true in [encoding.best_path(x.columns, letter) for x in encoding.patterns(bad) if x.columns]
+    assert any(x.columns and encoding._inside(bad, x.channel, true) for x in encoding.patterns(bad))
+
+
+def test_no_lattice_for_what_no_channel_made():
+    assert [x.channel for x in encoding.patterns("f\ufffdr")] == [encoding.LOST_BYTES] and [x.channel for x in encoding.patterns("\ufffd")] == [encoding.LOST_BYTES]

@@ -172,7 +172,7 @@ def test_lost_bytes_take_any_corpus_word_and_stay_where_none_is_known(spark):
 
 
 def test_token_of_many_lost_bytes_is_a_case(spark):
-    assert encoding.readings("�a" * 8, {"ü": -2.0})[-1] == (encoding.LOST_BYTES, "�a" * 8)
+    assert encoding.patterns("�a" * 8)[0] == (encoding.LOST_BYTES, "�a" * 8, None)
     t = table(spark, [page(i, "Für Maschinen") for i in range(9)] + [page("w", "�a" * 8), page("r", "�" * 40)])
     assert {r["original_archived_url"][-1]: r["restored"] for r in encoding.restored(t).collect()} == {"w": "�a" * 8, "r": "�" * 40}
 
@@ -198,3 +198,10 @@ def test_bodies_and_shared_labels(spark, words):
 def test_titles_without_text_are_read_for_residue(spark, tmp_path):
     table(spark, [page("t", None, title="{{ title }}"), page("u", " \n", title="Untitled Document"), page("v", None, title="Presse"), page("w", "x", title=" "), *EDGE[:4]]).write.parquet(f"{tmp_path}/pages.parquet")
     assert {r["original_archived_url"][-1] for r in queries.p2_found(spark, str(tmp_path)).collect()} == {"t", "u"}
+
+
+def test_lost_bytes_inside_damage_and_lone_dashes(spark):
+    clean = [page(i, "Die Halle – „Ída“ und ”König” für später.\n" + "für – “Quote” später " * 30) for i in range(20)]
+    bad = {"a": ("â€œQuoteâ€\ufffd", "“Quote”"), "b": ("Ã\ufffdda", "Ída"), "c": ("Halle Ð König", "Halle – König"), "d": ("seit 1934 û Werk", "seit 1934 – Werk")}
+    t = table(spark, clean + [page("ok", "«État» où CHÂTEAU")] + [page(k, x) for k, (x, _) in bad.items()])
+    assert {r["original_archived_url"][-1]: r["restored"] for r in encoding.restored(t).collect()} == {k: y for k, (_, y) in bad.items()}
