@@ -42,6 +42,8 @@ SOUND, MARK_GAIN = 2.0, 1.0
 DAMAGE, SWITCH, UNSEEN, VALID = 3.0, 4.0, 6.0, 7.0
 #: How far below the token as it stands a reading may score and still be carried to the field's search.
 SLACK = 3.0
+#: Share that the commonest word must have of all uses of words that fit a token with lost bytes; else what was lost can't be known.
+KNOWN_SHARE = 0.5
 #: Weight of the letter model against a count of one.
 PRIOR = 50.0
 # Letters and marks that texts in the languages at hand lose to wrong encodings.
@@ -325,7 +327,7 @@ def suspicious(freq: DataFrame) -> DataFrame:
 
 
 def lost_words(lost: DataFrame, words: DataFrame, model: Model) -> DataFrame:
-    """``token, clean, options`` for tokens with lost bytes: the commonest word that fits one of its :func:`patterns`, of all ``words``; without one what
+    """``token, clean, options`` for tokens with lost bytes: the word that fits one of its :func:`patterns`, of all ``words``, if most uses are its own; without any what
     a channel's lattice gives by letter frequencies; else the token itself."""
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -345,9 +347,10 @@ def lost_words(lost: DataFrame, words: DataFrame, model: Model) -> DataFrame:
             yield batch[keep][["token", "text", "n"]]
 
     pairs = open_.withColumn("frame", frame(F.col("pattern"))).join(words, "frame").select("token", "channel", "pattern", "text", "n").mapInPandas(fit, "token string, text string, n long")
-    top = pairs.groupBy("token").agg(F.max(F.struct("n", "text")).alias("top"))
+    once = pairs.distinct().groupBy("token").agg(F.max(F.struct("n", "text")).alias("top"), F.sum("n").alias("all"))
+    top = once.select("token", F.when(F.col("top.n") >= KNOWN_SHARE * F.col("all"), F.col("top")).alias("top"), F.lit(True).alias("any"))
     own = open_.groupBy("token").agg(F.min_by("likely", F.when(F.col("likely").isNotNull(), F.col("channel"))).alias("likely"))
-    text, n = F.coalesce("top.text", "likely", "token"), F.coalesce("top.n", F.lit(0))
+    text, n = F.coalesce("top.text", F.when(F.col("any").isNull(), F.col("likely")), "token"), F.coalesce("top.n", F.lit(0))
     option = F.struct(F.lit(LOST_BYTES).alias("channel"), F.log(n + 1.0).alias("score"), text.alias("text"))
     return own.join(top, "token", "left").select("token", F.lit(-99.0).alias("clean"), F.array(option).alias("options"))
 
