@@ -93,10 +93,18 @@ def p10_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return spans.coverage(_t(spark, sf, "documents"))
 
 
+def p10_links(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.links(_t(spark, sf, "documents"))
+
+
+def p10_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.classes(_t(spark, sf, "documents")).select("doc_id", "class_id")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_restored, p2_found, p2_residue, p3_found, p3_bodies, p4_found, p5_found, p5_statistics, p6_found, p6_segments, p7_found, p7_cleaned, p8_containers, p9_found, p9_report, p10_found, p10_coverage,
+        p1_found, p1_restored, p2_found, p2_residue, p3_found, p3_bodies, p4_found, p5_found, p5_statistics, p6_found, p6_segments, p7_found, p7_cleaned, p8_containers, p9_found, p9_report, p10_found, p10_coverage, p10_links, p10_classes,
     )
 }
 #: Where SQL can say the same on whole tables in reasonable time.
@@ -112,6 +120,7 @@ with l as (select distinct registrable_domain, firm_id, relative_timepoint, orig
              trim(regexp_replace(translate(x, chr(9) || chr(160), '  '), ' +', ' ', 'g'), ' ') as line_text
            from (select *, unnest(string_split(extracted_text, chr(10))) as x from pages where original_archived_url is not null and registrable_domain is not null))
 select registrable_domain, line_text from l where line_text <> '' group by all having count(*) >= 8""",
+    "p10_classes": "select doc_id, min(doc_id) over (partition by text) as class_id from documents where doc_id is not null and text is not null",
     "p9_found": r"""
 with d as (select doc_id, list_filter(regexp_split_to_array(lower(nfc_normalize(text)), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from documents),
 e as (select eval_id, list_filter(regexp_split_to_array(lower(nfc_normalize(passage)), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from evaluation_items),

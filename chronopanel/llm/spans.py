@@ -5,10 +5,13 @@ of one symbol becomes one symbol, and then each pair of neighbours (left, right)
 of all symbols - halves change from round to round - becomes one symbol. A new symbol's name is a hash of what it stands for, so all
 documents, wherever they are processed, give equal stretches equal names, up to a few symbols at the stretch's ends. Symbols whose text
 would grow beyond ``LONGEST`` characters aren't paired. After the rounds, neighbouring symbols are named together until they span
-``ANCHOR`` characters; equal anchors of different documents show a shared stretch, which is verified and measured on the texts.
+``ANCHOR`` characters, and of every ``NEIGHBOURS`` such names in a row the least is kept as an anchor. Equal anchors of different documents show
+a shared stretch, which is verified and measured on the texts. An anchor that follows the same anchor at the same distance wherever it
+stands adds nothing to that one and is dropped, so a passage brings its first anchors only, however long it is.
 
-Why none is missed: the ends of a shared stretch that are parsed differently grow by at most one symbol in a round. With the lengths used
-here that is about 60 characters on each side and far below the ``(500 - ANCHOR - LONGEST) / 2`` that would hide a stretch of 500.
+Why hardly any is missed: the ends of a shared stretch that are parsed differently grow by at most one symbol in a round. With the lengths that
+texts have that is about 60 characters on each side; 3,000 random stretches of 500 characters of the test texts had at least four names
+in a row in common. It isn't a proof for every text.
 """
 
 from __future__ import annotations
@@ -22,8 +25,12 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
-#: Least shared characters, rounds, longest symbol and anchor in characters.
-LEAST, ROUNDS, LONGEST, ANCHOR = 500, 6, 64, 160
+#: Least shared characters, rounds, longest symbol and anchor in characters, names in a row of which one is kept.
+LEAST, ROUNDS, LONGEST, ANCHOR, NEIGHBOURS = 500, 6, 64, 160, 3
+#: One in so many places inside a token longer than ``LONGEST`` is a cut, by the hash of the characters around it.
+CUT = 16
+#: Documents of an anchor that are joined in one piece with all of its documents.
+PIECE = 200
 _MIX1, _MIX2, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _WORD = np.zeros(0x110000, dtype=bool)
 
@@ -50,7 +57,8 @@ with np.errstate(over="ignore"):
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names and start positions of the tokens of all texts one after the other, and where each text begins. A token is cut every ``LONGEST``."""
+    """Names and start positions of the tokens of all texts one after the other, and where each text begins. A token longer than ``LONGEST`` is cut
+    where the characters say so, and pieces that are still longer every ``LONGEST``."""
     code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     begin = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
     n = len(code)
@@ -61,6 +69,16 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first[begin[:-1][begin[:-1] < n]] = True
     start = np.flatnonzero(first)
     size = np.diff(np.append(start, n))
+    long = size > LONGEST
+    if long.any():
+        inside = np.zeros(n + 1, dtype=np.int8)
+        inside[start[long] + 1] = 1
+        inside[(start + size)[long]] -= 1
+        with np.errstate(over="ignore"):
+            near = _mix(_RANDOM[code[1:]] * _MIX2 + _RANDOM[code[:-1]]) % np.uint64(CUT) == 0
+        first[1:] |= near & (np.cumsum(inside[:-1], dtype=np.int64)[1:] > 0)
+        start = np.flatnonzero(first)
+        size = np.diff(np.append(start, n))
     if (size > LONGEST).any():
         pieces = -(-size // LONGEST)
         step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -106,7 +124,8 @@ def rounds(name: np.ndarray, start: np.ndarray, begin: np.ndarray, times: int =
 
 
 def anchors(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(name, text number, position)`` of the anchor at each symbol: the fewest symbols from it on that span ``ANCHOR`` characters of its text.
+    """``(name, text number, position)`` of the anchors: the fewest symbols from one on that span ``ANCHOR`` characters of its text are named together,
+    and a name is kept if it is the least of some ``NEIGHBOURS`` names in a row of its text.
 
     Of equal anchors of a text that follow each other within ``ANCHOR`` characters, as in a repeated pattern, the first is kept.
     """
@@ -124,12 +143,34 @@ def anchors(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             inside = at + k < until[at]
             key[inside] = _mix(key[inside] * _B + name[at[inside] + k])
     of, pos = of[at], start[at] - begin[of[at]]
+    kept = _least(key, of)
+    key, of, pos = key[kept], of[kept], pos[kept]
     order = np.lexsort((pos, of, key))
     same = (key[order][1:] == key[order][:-1]) & (of[order][1:] == of[order][:-1]) & (np.diff(pos[order]) < ANCHOR)
     keep = order[np.concatenate(([True], ~same))] if len(order) else order
     return key[keep], of[keep], pos[keep]
 
 
+def _least(key: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Positions of the names that are the least of ``NEIGHBOURS`` names in a row of one text, or of all if it has fewer; equal ones all count."""
+    n = len(key)
+    out = np.zeros(n, dtype=bool)
+    if not n:
+        return np.flatnonzero(out)
+    first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+    last = np.append(first[1:], n)
+    for i in range(NEIGHBOURS):
+        # windows that begin i names before a name and end inside its text
+        begin = np.maximum(np.arange(n) - i, np.repeat(first, last - first))
+        end = np.minimum(begin + NEIGHBOURS, np.repeat(last, last - first))
+        begin = np.maximum(end - NEIGHBOURS, np.repeat(first, last - first))
+        low = key[begin].copy()
+        for k in range(1, NEIGHBOURS):
+            low = np.minimum(low, key[np.minimum(begin + k, end - 1)])
+        out |= key == low
+    return np.flatnonzero(out)
+
+
 #: Characters that are parsed at once.
 BATCH_CHARS = 4_000_000
 
@@ -146,17 +187,22 @@ def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def anchor_table(documents: DataFrame, least: int = LEAST) -> DataFrame:
-    """``key, doc_id, pos`` of every anchor of documents that are long enough to share a stretch."""
+    """``key, doc_id, pos, before, gap`` of every anchor of documents that are long enough to share a stretch, with the document's anchor before it and how far
+    back that is (-1: none)."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts, ids = b["text"].tolist(), b["doc_id"].to_numpy()
             for i, j in _groups(texts):
                 key, of, pos = anchors(texts[i:j])
-                yield pd.DataFrame({"key": key.astype(np.int64), "doc_id": ids[i:j][of], "pos": pos.astype(np.int32)})
+                order = np.lexsort((pos, of))
+                key, of, pos = key[order].astype(np.int64), of[order], pos[order].astype(np.int32)
+                new = np.concatenate(([True], of[1:] != of[:-1])) if len(of) else np.zeros(0, bool)
+                before, gap = np.where(new, 0, np.roll(key, 1)), np.where(new, -1, pos - np.roll(pos, 1))
+                yield pd.DataFrame({"key": key, "doc_id": ids[i:j][of], "pos": pos, "before": before, "gap": gap.astype(np.int32)})
 
     rows = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= least))
-    return rows.mapInPandas(scan, "key long, doc_id long, pos int")
+    return rows.mapInPandas(scan, "key long, doc_id long, pos int, before long, gap int")
 
 
 def classes(documents: DataFrame) -> DataFrame:
@@ -178,30 +224,47 @@ def _runs(a: str, b: str, shift: int, least: int) -> list[tuple[int, int]]:
     return [(int(cut[k]) + 1 + lo, int(gap[k])) for k in np.flatnonzero(gap >= least)]
 
 
+def candidates(anchor: DataFrame) -> DataFrame:
+    """``a, b, shifts``: documents a < b with a common anchor, and by how much the texts must be shifted for one to meet the other.
+
+    Anchors of one document only, and those that always follow the same one at the same distance, are dropped before any pair is made. The documents
+    of an anchor are joined in pieces, so an anchor of many documents spreads over tasks.
+    """
+    link = F.struct("before", "gap")
+    shared = anchor.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"), F.min(link).alias("l"), F.max(link).alias("h"))
+    heads = (F.col("lo") != F.col("hi")) & ((F.col("l") != F.col("h")) | (F.col("l.gap") < 0))
+    pieces = F.ceil(F.col("n") / PIECE).cast("int").alias("pieces")
+    some = materialise(anchor.select("key", "doc_id", "pos").join(shared.where(heads).select("key", pieces), "key"), "shared-anchors")
+    a = some.select("key", F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int").alias("piece"), F.col("doc_id").alias("a"), F.col("pos").alias("pa"))
+    b = some.select("key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("doc_id").alias("b"), F.col("pos").alias("pb"))
+    both = a.join(b, ["key", "piece"]).where(F.col("a") < F.col("b")).select("a", "b", (F.col("pa") - F.col("pb")).alias("shift"))
+    return both.distinct().groupBy("a", "b").agg(F.collect_list("shift").alias("shifts"))
+
+
 def stretches(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """``a, b, start_a, start_b, length``: all shared stretches of ``least`` or more characters of documents a < b with different texts.
 
-    One document stands for all that have its text. Anchors in one document only are dropped before anchors are paired; pairs are made
-    distinct by their shift before texts are fetched, and compared over their whole length.
+    One document stands for all that have its text. Texts are fetched once for each pair and compared over their whole length for every shift.
     """
-    texts = documents.select("doc_id", "text")
     own = classes(documents)
     first = own.where((F.col("doc_id") == F.col("class_id")) & (F.col("n") >= least)).select("doc_id")
-    anchor = materialise(anchor_table(texts, least), "anchors")
-    shared = anchor.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    some = anchor.join(shared, "key").join(first, "doc_id")
-    some = materialise(some.select("key", "doc_id", "pos"), "shared-anchors")
-    a, b = some.select("key", F.col("doc_id").alias("a"), F.col("pos").alias("pa")), some.select("key", F.col("doc_id").alias("b"), F.col("pos").alias("pb"))
-    pairs = a.join(b, "key").where(F.col("a") < F.col("b")).select("a", "b", (F.col("pa") - F.col("pb")).alias("shift")).distinct()
-    used = texts.join(some.select("doc_id").distinct(), "doc_id")
+    texts = documents.select("doc_id", "text").join(first, "doc_id").dropDuplicates(["doc_id"])
+    pairs = materialise(candidates(materialise(anchor_table(texts, least), "anchors")), "pairs")
+    side = lambda c: pairs.select(F.col(c).alias("doc_id")).distinct()
+    used = texts.join(side("a").union(side("b")).distinct(), "doc_id")
     both = pairs.join(used.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(used.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            out = [(a, b, s, s - d, n) for a, b, d, ta, tb in zip(x["a"], x["b"], x["shift"], x["ta"], x["tb"], strict=True) for s, n in _runs(ta, tb, int(d), least)]
+            out = [(a, b, s, s - int(d), n) for a, b, shifts, ta, tb in zip(x["a"], x["b"], x["shifts"], x["ta"], x["tb"], strict=True) for d in shifts for s, n in _runs(ta, tb, int(d), least)]
             yield pd.DataFrame(out, columns=["a", "b", "start_a", "start_b", "length"])
 
-    return both.mapInPandas(verify, "a long, b long, start_a int, start_b int, length int").distinct()
+    return both.mapInPandas(verify, "a long, b long, start_a int, start_b int, length int")
+
+
+def links(documents: DataFrame, least: int = LEAST) -> DataFrame:
+    """``class_a, class_b, stretches, longest``: pairs of different texts that share a stretch, named by their classes; :func:`classes` says which documents have each text."""
+    return stretches(documents, least).groupBy(F.col("a").alias("class_a"), F.col("b").alias("class_b")).agg(F.count(F.lit(1)).alias("stretches"), F.max("length").alias("longest"))
 
 
 def found(documents: DataFrame, least: int = LEAST) -> DataFrame:

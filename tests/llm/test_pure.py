@@ -276,3 +276,26 @@ def test_lost_bytes_are_wildcards_of_the_channel(bad, true):
 
 def test_no_lattice_for_what_no_channel_made():
     assert [x.channel for x in encoding.patterns("f\ufffdr")] == [encoding.LOST_BYTES] and [x.channel for x in encoding.patterns("\ufffd")] == [encoding.LOST_BYTES]
+
+
+def test_stretches_inside_texts_without_gaps_meet():
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    for _ in range(40):
+        shared = word(600)
+        key, of, _ = spans.anchors([word(rng.randint(0, 300)) + shared + word(50), word(rng.randint(0, 300)) + shared])
+        assert set(key[of == 0]) & set(key[of == 1])
+
+
+def test_kept_names_are_the_least_of_their_neighbours():
+    rng = random.Random(3)
+    for _ in range(50):
+        of = sorted(rng.randint(0, 3) for _ in range(rng.randint(1, 20)))
+        key = [rng.randint(0, 30) for _ in of]
+        want = set()
+        for t in set(of):
+            at = [i for i, x in enumerate(of) if x == t]
+            for i in range(max(1, len(at) - spans.NEIGHBOURS + 1)):
+                w = at[i : i + spans.NEIGHBOURS]
+                want |= {k for k in w if key[k] == min(key[j] for j in w)}
+        assert set(spans._least(np.array(key, dtype=np.uint64), np.array(of)).tolist()) == want

@@ -205,3 +205,31 @@ def test_lost_bytes_inside_damage_and_lone_dashes(spark):
     bad = {"a": ("â€œQuoteâ€\ufffd", "“Quote”"), "b": ("Ã\ufffdda", "Ída"), "c": ("Halle Ð König", "Halle – König"), "d": ("seit 1934 û Werk", "seit 1934 – Werk")}
     t = table(spark, clean + [page("ok", "«État» où CHÂTEAU")] + [page(k, x) for k, (x, _) in bad.items()])
     assert {r["original_archived_url"][-1]: r["restored"] for r in encoding.restored(t).collect()} == {k: y for k, (_, y) in bad.items()}
+
+
+def test_shared_spans_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(spans, "PIECE", 3)
+    rng = random.Random(21)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijk") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    passages = [text(140)[:640], text(200)[:900], "abcde " * 130, text(100)[:499]]
+    rows = []
+    for i in range(26):
+        parts = [text(rng.randint(0, 60))]
+        for p in rng.sample(passages, rng.randint(0, 2)):
+            cut = rng.choice([0, 0, 120])
+            parts += [p[cut:], text(rng.randint(1, 30))]
+        rows.append((i, "|".join(parts)))
+    rows.append((90, rows[3][1]))
+    pieces = {i: {t[k : k + 500] for k in range(len(t) - 499)} for i, t in rows}
+    want = {(a, b) for a in pieces for b in pieces if a < b and pieces[a] & pieces[b]}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in spans.found(docs).collect()} == want and len(want) > 20
+    cover = {}
+    for a, t in rows:
+        other = set().union(*(pieces[b] for b in pieces if b != a))
+        seen = [False] * len(t)
+        for k in range(len(t) - 499):
+            if t[k : k + 500] in other:
+                seen[k : k + 500] = [True] * 500
+        cover[a] = sum(seen)
+    assert {r["doc_id"]: r["shared_chars"] for r in spans.coverage(docs).collect()} == cover
