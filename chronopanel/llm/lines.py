@@ -181,7 +181,7 @@ def repeated(ids: DataFrame, least: int = LEAST) -> DataFrame:
 
 def found(table: DataFrame, least: int = LEAST) -> DataFrame:
     """``registrable_domain, line_text`` of the lines of all repeated blocks, single lines included. The text of each is taken from one page that holds it."""
-    at = repeated(materialise(line_ids(table), "line-ids"), least).groupBy(*pages.ID).agg(F.collect_set("no").alias("numbers"))
+    at = materialise(repeated(materialise(line_ids(table), "line-ids"), least).groupBy(*pages.ID).agg(F.collect_set("no").alias("numbers")), "places")
     text = pages.identified(pages.with_text(table)).select("registrable_domain", *pages.ID, "extracted_text").join(at, pages.ID)
     line = F.explode(F.transform("numbers", lambda i: F.get(F.split("extracted_text", "\n"), i)))
     return text.select("registrable_domain", line.alias("line")).select("registrable_domain", pages.tidy_line(F.col("line")).alias("line_text")).distinct()
