@@ -248,7 +248,7 @@ def stretches(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """
     own = classes(documents)
     first = own.where((F.col("doc_id") == F.col("class_id")) & (F.col("n") >= least)).select("doc_id")
-    texts = documents.select("doc_id", "text").join(first, "doc_id").dropDuplicates(["doc_id"])
+    texts = documents.select("doc_id", "text").join(first, "doc_id")
     pairs = materialise(candidates(materialise(anchor_table(texts, least), "anchors")), "pairs")
     side = lambda c: pairs.select(F.col(c).alias("doc_id")).distinct()
     used = texts.join(side("a").union(side("b")).distinct(), "doc_id")
@@ -264,7 +264,7 @@ def stretches(documents: DataFrame, least: int = LEAST) -> DataFrame:
 
 def links(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """``class_a, class_b, stretches, longest``: pairs of different texts that share a stretch, named by their classes; :func:`classes` says which documents have each text."""
-    return stretches(documents, least).groupBy(F.col("a").alias("class_a"), F.col("b").alias("class_b")).agg(F.count(F.lit(1)).alias("stretches"), F.max("length").alias("longest"))
+    return stretches(documents, least).distinct().groupBy(F.col("a").alias("class_a"), F.col("b").alias("class_b")).agg(F.count(F.lit(1)).alias("stretches"), F.max("length").alias("longest"))
 
 
 def found(documents: DataFrame, least: int = LEAST) -> DataFrame:
