@@ -1,27 +1,34 @@
 """Passages of evaluation items in documents, by template canonicalisation.
 
 Words are runs of letters or digits of the composed text (NFC), compared in lower case. Numbers, units and names become typed placeholders,
-so a window of words becomes a template. Windows of documents whose template occurs in an item are joined with the items' windows on the
-template's hash; the fillers of both are then compared slot by slot. Equal fillers are an exact leak; different fillers that map one to one
-are a re-parameterised copy of the item.
+so a window of words becomes a template. Documents are read once: windows whose template may occur in an item (by a table of bits of a fixed size)
+are hash-joined with the items' windows, and the fillers of both are compared slot by slot. Equal fillers are an exact leak; different fillers that map one to
+one over a whole run of windows are a re-parameterised copy of the item.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a window, items that are looked for in one pass (more items: more passes), items up to which a capitalised word counts as a name.
-WINDOW, BLOCK_ITEMS, NAME_ITEMS = 13, 20_000, 3
+from ..session import materialise
+
+#: Words of a window, and items up to which a word that is only written with a capital counts as a name.
+WINDOW, NAME_ITEMS = 13, 3
+#: Windows on one alignment that a re-parameterised copy needs (of 200 planted copies at sf0.1 12 find 196 and nothing else, 8 find 199 and 42 others), and greatest
+#: share of placeholders in them.
+RUN, SLOTS = 12, 0.5
+#: Bits of the tables of words and of templates, whatever the number of items: 2 and 16 MB. A false hit in the first may hide a changed copy, never an exact one; one
+#: in the second costs a row that the join drops.
+WORD_BITS, TEMPLATE_BITS = 24, 27
 WORD = re.compile(r"[^\W_]+")
 # Units of measure that become one placeholder.
 UNITS = frozenset("mm cm m km kg g t kw kwh mw nm bar l h min s °c c v a percent prozent pourcent millionen million millions euro eur usd".split())
@@ -29,36 +36,87 @@ NUMBER, UNIT, NAME = "\x01", "\x02", "\x03"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words(text: str | None) -> list[tuple[str, str]]:
-    """``(word, lower-case word)`` of a text; null gives none."""
-    return [(w, w.lower()) for w in WORD.findall(unicodedata.normalize("NFC", text or ""))]
+def words(text: str | None) -> list[str]:
+    """Words of a text as they are written; null gives none."""
+    return WORD.findall(text if text is None or text.isascii() else unicodedata.normalize("NFC", text)) if text else []
+
+
+def _hash(symbol: str) -> int:
+    return xxhash.xxh64_intdigest(symbol.encode("utf-8", "surrogatepass"))
+
+
+class Bits(NamedTuple):
+    """A set of hashes by their highest bits; a fixed size, no hash is missed."""
+
+    size: int
+    table: np.ndarray
+
+    def has(self, value: int) -> bool:
+        at = value >> (64 - self.size)
+        return bool(self.table[at >> 3] >> (at & 7) & 1)
+
+    def all(self, values: np.ndarray) -> np.ndarray:
+        at = (values >> np.uint64(64 - self.size)).astype(np.int64)
+        return (self.table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def bits(hashes: DataFrame, size: int) -> Bits:
+    """The set of a table's only column ``h``. One table of bits comes to the driver from each of eight parts."""
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = np.zeros(1 << (size - 3), dtype=np.uint8)
+        for b in batches:
+            at = (b["h"].to_numpy().astype(np.int64).view(np.uint64) >> np.uint64(64 - size)).astype(np.int64)
+            np.bitwise_or.at(table, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
+        if table.any():
+            yield pd.DataFrame({"t": [table.tobytes()]})
+
+    out = np.zeros(1 << (size - 3), dtype=np.uint8)
+    for r in hashes.coalesce(8).mapInPandas(fill, "t binary").toLocalIterator():
+        out |= np.frombuffer(r["t"], dtype=np.uint8)
+    return Bits(size, out)
+
 
+class Vocabulary(NamedTuple):
+    """Words that the items use, and those of them that are names."""
 
-class Items(NamedTuple):
-    """What a pass needs of its items: words that are names, the words they use, and the sorted hashes of their templates."""
+    known: Bits
+    names: Bits
 
-    names: frozenset[str]
-    vocabulary: dict[str, int]
-    hashes: np.ndarray
 
+def vocabulary(items: DataFrame) -> Vocabulary:
+    """Words of all items. A name is written with a capital, not only at a passage's start, nowhere without, and stands in at most ``NAME_ITEMS`` items. It
+    depends on all items together, not on how they are split."""
 
-def placeholder(word: str, low: str, names: frozenset[str], vocabulary: dict[str, int], first: bool) -> str:
-    """Type of a word, or the word. A known word's type doesn't depend on its case or place; an unknown capitalised word inside a sentence is a name."""
+    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, text in zip(b["eval_id"], b["passage"], strict=True):
+                out += {(i, _hash(w.lower()), w[:1].isupper(), k > 0) for k, w in enumerate(words(text))}
+            h = np.array([x[1] for x in out], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"eval_id": [x[0] for x in out], "h": h, "capital": [x[2] for x in out], "inside": [x[3] for x in out]})
+
+    seen = items.mapInPandas(explode, "eval_id long, h long, capital boolean, inside boolean")
+    per = seen.groupBy("h").agg(F.min("capital").alias("always"), F.max(F.col("capital") & F.col("inside")).alias("inside"), F.count_distinct("eval_id").alias("n"))
+    per = materialise(per.select("h", (F.col("always") & F.col("inside") & (F.col("n") <= NAME_ITEMS)).alias("name")), "item-words")
+    return Vocabulary(bits(per.select("h"), WORD_BITS), bits(per.where("name").select("h"), WORD_BITS))
+
+
+def symbol(word: str, v: Vocabulary) -> str:
+    """Type of a word, or the word. A known word's type doesn't depend on its case; an unknown word with a capital is a name."""
+    low = word.lower()
     if any(c.isdigit() for c in low):
         return NUMBER
     if low in UNITS:
         return UNIT
-    if low in vocabulary:
-        return NAME if low in names else low
-    return NAME if word[:1].isupper() and not first else low
-
-
-def _value(symbol: str) -> int:
-    return xxhash.xxh64_intdigest(symbol.encode("utf-8", "surrogatepass"))
+    h = _hash(low)
+    if v.names.has(h):
+        return NAME
+    return low if v.known.has(h) or not word[:1].isupper() else NAME
 
 
 def window_hashes(values: np.ndarray, size: int = WINDOW) -> np.ndarray:
-    """Polynomial hash of every window of ``size`` values, modulo 2**64."""
+    """Polynomial hash of every window of ``size`` values, modulo 2**64, mixed so that its highest bits can be used."""
     n = len(values) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
@@ -66,100 +124,50 @@ def window_hashes(values: np.ndarray, size: int = WINDOW) -> np.ndarray:
         out = values[:n].copy()
         for k in range(1, size):
             out = out * _BASE + values[k : k + n]
-    return out
-
-
-def prepare(rows: list[tuple[int, str | None]], size: int = WINDOW) -> tuple[Items, list[tuple[int, int, int, list[str], list[str]]]]:
-    """Items and their windows ``(eval_id, position, template hash, words, template)``. Passages shorter than a window have none."""
-    tokens = {i: words(p) for i, p in rows}
-    seen: dict[str, set[int]] = {}
-    small: set[str] = set()
-    vocabulary: dict[str, int] = {}
-    for i, t in tokens.items():
-        for k, (w, low) in enumerate(t):
-            vocabulary.setdefault(low, len(vocabulary))
-            if w[:1].isupper():
-                if k:
-                    seen.setdefault(low, set()).add(i)
-            else:
-                small.add(low)
-    names = frozenset(w for w, of in seen.items() if w not in small and len(of) <= NAME_ITEMS)
-    out = []
-    for i, t in tokens.items():
-        template = [placeholder(w, low, names, vocabulary, not k) for k, (w, low) in enumerate(t)]
-        values = np.array([_value(x) for x in template], dtype=np.uint64)
-        for k, h in enumerate(window_hashes(values, size)):
-            out.append((i, k, int(h.astype(np.int64)), [low for _, low in t[k : k + size]], template[k : k + size]))
-    hashes = np.unique(np.array([w[2] for w in out], dtype=np.int64))
-    return Items(names, vocabulary, hashes), out
-
-
-_HITS = "doc_id long, doc_pos int, template long, doc_words array<string>"
-
-
-def _windows(documents: DataFrame, items: Items, size: int) -> DataFrame:
-    """Windows of documents whose template is one of the items'. Word values are looked up once for each different word of a batch."""
+        return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def windows(table: DataFrame, key: str, text: str, v: Vocabulary, size: int = WINDOW, only: Bits | None = None) -> DataFrame:
+    """``key, pos, template, low, symbols`` of the windows of every text; if ``only``, of those whose template may be in it. Each different word of a batch is typed once."""
+    schema = f"{key} long, pos int, template long, low array<string>, symbols array<string>"
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, int] = {}
-        known = {w: _value(placeholder(w, w, items.names, items.vocabulary, True)) for w in items.vocabulary}
-        name, number = _value(NAME), _value(NUMBER)
-
-        def value(word: str) -> int:
-            low = word.lower()
-            got = known.get(low)
-            if got is None:
-                got = number if any(c.isdigit() for c in low) else _value(UNIT) if low in UNITS else name if word[:1].isupper() else _value(low)
-            if len(cache) > 500_000:
-                cache.clear()
-            cache[word] = got
-            return got
-
         for b in batches:
             out = []
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                w = WORD.findall(text if text.isascii() else unicodedata.normalize("NFC", text))
+            for i, t in zip(b[key], b[text], strict=True):
+                w = words(t)
                 if len(w) < size:
                     continue
-                get = cache.get
-                values = np.array([get(x) or value(x) for x in w], dtype=np.uint64)
-                h = window_hashes(values, size).astype(np.int64)
-                at = np.searchsorted(items.hashes, h)
-                at[at == len(items.hashes)] = 0
-                for k in np.flatnonzero(items.hashes[at] == h) if len(items.hashes) else ():
-                    out.append((doc, int(k), int(h[k]), [x.lower() for x in w[k : k + size]]))
-            yield pd.DataFrame(out, columns=["doc_id", "doc_pos", "template", "doc_words"])
+                if len(cache) > 500_000:
+                    cache.clear()
+                for x in set(w).difference(cache):
+                    cache[x] = _hash(symbol(x, v))
+                h = window_hashes(np.array([cache[x] for x in w], dtype=np.uint64), size)
+                for k in np.flatnonzero(only.all(h)) if only else range(len(h)):
+                    part = w[k : k + size]
+                    out.append((i, int(k), int(h[k].astype(np.int64)), [x.lower() for x in part], [symbol(x, v) for x in part]))
+            yield pd.DataFrame(out, columns=[key, "pos", "template", "low", "symbols"])
 
-    return documents.select("doc_id", "text").where(F.col("text").isNotNull()).mapInPandas(scan, _HITS)
+    return table.select(key, text).where(F.col(key).isNotNull() & F.col(text).isNotNull()).mapInPandas(scan, schema)
 
 
-def matches(documents: DataFrame, evaluation_items: DataFrame, size: int = WINDOW, block: int = BLOCK_ITEMS) -> DataFrame:
-    """``eval_id, doc_id, eval_pos, doc_pos, changed, consistent``: windows of items found in documents.
+def matches(documents: DataFrame, evaluation_items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """``eval_id, doc_id, eval_pos, doc_pos, changed, slots, pairs``: windows of items found in documents.
 
-    ``changed``: slots whose filler differs (0: word for word). ``consistent``: fillers of the two map one to one. Items come to the driver
-    in blocks of at most ``block``, each block one pass over the documents; a template that stands in many documents is joined as it is
-    read, against the few windows of items that have it.
+    ``changed``: slots whose filler differs (0: word for word); ``slots``: placeholders; ``pairs``: fillers of item and document. Both sides meet
+    in a join on the template, which Spark broadcasts only if the items' windows are small.
     """
     items = evaluation_items.select("eval_id", "passage").where(F.col("eval_id").isNotNull() & F.col("passage").isNotNull()).distinct()
-    total = items.count()
-    parts = max(1, -(-total // block))
-    out: DataFrame | None = None
-    for k in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("eval_id"), F.lit(parts)) == k)
-        prepared, windows = prepare([(r["eval_id"], r["passage"]) for r in own.collect()], size)
-        spark = documents.sparkSession
-        right = spark.createDataFrame([(i, p, h, w, t) for i, p, h, w, t in windows], "eval_id long, eval_pos int, template long, eval_words array<string>, symbols array<string>")
-        got = _windows(documents, prepared, size).join(F.broadcast(right), "template")
-        out = got if out is None else out.unionByName(got)
+    v = vocabulary(items)
+    right = materialise(windows(items, "eval_id", "passage", v, size), "item-windows")
+    left = windows(documents, "doc_id", "text", v, size, bits(right.select(F.col("template").alias("h")), TEMPLATE_BITS))
+    right = right.select("eval_id", F.col("pos").alias("eval_pos"), "template", F.col("low").alias("eval_words"), "symbols")
+    both = left.select("doc_id", F.col("pos").alias("doc_pos"), "template", F.col("low").alias("doc_words"), F.col("symbols").alias("doc_symbols")).join(right, "template").where(F.col("symbols") == F.col("doc_symbols"))
     slots = F.filter(F.arrays_zip("symbols", "eval_words", "doc_words"), lambda x: x["symbols"].isin(NUMBER, UNIT, NAME))
-    pair = F.transform(slots, lambda x: F.concat_ws("\x04", x["eval_words"], x["doc_words"]))
-    plain = F.forall(F.arrays_zip("symbols", "doc_words"), lambda x: x["symbols"].isin(NUMBER, UNIT, NAME) | (x["symbols"] == x["doc_words"]))
-    left, right_ = F.transform(slots, lambda x: x["eval_words"]), F.transform(slots, lambda x: x["doc_words"])
-    n = F.size(F.array_distinct(pair))
-    return out.where(plain).select(
-        "eval_id", "doc_id", "eval_pos", "doc_pos",
-        F.size(F.filter(slots, lambda x: x["eval_words"] != x["doc_words"])).alias("changed"),
-        ((n == F.size(F.array_distinct(left))) & (n == F.size(F.array_distinct(right_)))).alias("consistent"),
+    return both.select(
+        "eval_id", "doc_id", "eval_pos", "doc_pos", F.size(F.filter(slots, lambda x: x["eval_words"] != x["doc_words"])).alias("changed"), F.size(slots).alias("slots"),
+        F.array_distinct(F.transform(slots, lambda x: F.struct(x["eval_words"].alias("e"), x["doc_words"].alias("d")))).alias("pairs"),
     )
 
 
@@ -168,8 +176,28 @@ def found(documents: DataFrame, evaluation_items: DataFrame) -> DataFrame:
     return matches(documents, evaluation_items).where(F.col("changed") == 0).select("eval_id", "doc_id").distinct()
 
 
-def report(documents: DataFrame, evaluation_items: DataFrame) -> DataFrame:
-    """``eval_id, doc_id, exact_windows, changed_windows``: also copies with other numbers and names, if their fillers map one to one."""
-    got = matches(documents, evaluation_items).where(F.col("consistent") | (F.col("changed") == 0))
-    same = F.col("changed") == 0
-    return got.groupBy("eval_id", "doc_id").agg(F.count_if(same).alias("exact_windows"), F.count_if(~same).alias("changed_windows"))
+def _one_to_one(pairs: Column) -> Column:
+    n = F.size(pairs)
+    return (n == F.size(F.array_distinct(F.transform(pairs, lambda p: p["e"])))) & (n == F.size(F.array_distinct(F.transform(pairs, lambda p: p["d"]))))
+
+
+def report(documents: DataFrame, evaluation_items: DataFrame, run: int = RUN) -> DataFrame:
+    """``eval_id, doc_id, exact_windows, changed_windows, changed_fillers``: leaks word for word, and copies with other numbers, units and names.
+
+    Windows are taken together along the alignment of item and document. A copy needs at least ``run`` windows on one alignment (or all that the item
+    has), at most ``SLOTS`` of their words placeholders, and fillers that map one to one over all of them.
+    """
+    got = matches(documents, evaluation_items).dropDuplicates(["eval_id", "doc_id", "eval_pos", "doc_pos"])
+    own = evaluation_items.select("eval_id", "passage").where(F.col("eval_id").isNotNull() & F.col("passage").isNotNull())
+    line = got.groupBy("eval_id", "doc_id", (F.col("doc_pos") - F.col("eval_pos")).alias("shift")).agg(
+        F.count_if(F.col("changed") == 0).alias("exact"), F.count(F.lit(1)).alias("n"), F.sum("slots").alias("slots"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")
+    )
+    most = own.groupBy("eval_id").agg(F.max(F.size(F.regexp_extract_all("passage", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("words"))
+    line = line.join(most, "eval_id")
+    enough = F.col("n") >= F.least(F.lit(run), F.greatest(F.lit(1), F.col("words") - (WINDOW - 1)))
+    changed = F.filter("pairs", lambda p: p["e"] != p["d"])
+    copy = enough & (F.col("slots") <= SLOTS * WINDOW * F.col("n")) & _one_to_one(F.col("pairs")) & (F.size(changed) > 0)
+    kept = line.where((F.col("exact") > 0) | copy)
+    return kept.groupBy("eval_id", "doc_id").agg(
+        F.sum("exact").alias("exact_windows"), F.sum(F.when(copy, F.col("n") - F.col("exact")).otherwise(0)).alias("changed_windows"), F.max(F.when(copy, F.size(changed)).otherwise(0)).alias("changed_fillers")
+    )

@@ -155,8 +155,12 @@ def test_long_runs_meet_whatever_their_length():
 
 
 def test_template_words():
-    items, windows = leak.prepare([(1, "In Altdorf wurden 25 Pressen von der Familie Muster an drei neue Werke verkauft und geliefert."), (2, None)], 13)
-    assert len(windows) == 4 and leak.NUMBER in windows[0][4] and "altdorf" in items.names
+    table = lambda *w: leak.Bits(8, np.packbits([any(leak._hash(x) >> 56 == k for x in w) for k in range(256)], bitorder="little"))
+    v = leak.Vocabulary(table("altdorf", "pressen", "in"), table("altdorf"))
+    assert [leak.symbol(w, v) for w in ("In", "ALTDORF", "25", "kg", "Pressen")] == ["in", leak.NAME, leak.NUMBER, leak.UNIT, "pressen"]
+    assert leak.words(None) == [] and leak.words("e\u0301a_b") == ["éa", "b"]
+    values = np.arange(1, 30, dtype=np.uint64)
+    assert len(leak.window_hashes(values)) == 17 and len(set(leak.window_hashes(values).tolist())) == 17 and len(leak.window_hashes(values[:5])) == 0
 
 
 def tokens_of(text):
