@@ -15,8 +15,7 @@ from typing import NamedTuple
 from . import lexicon as lx
 
 SPACES = re.compile(r"[\t\xa0 ]+")
-_SEP = re.compile(r"\s*[|¦>›»«/·•;]\s*|\t+|[ \xa0]{2,}| - ")
-_SEPARATORS = ("|", "/", ";", ">", "\t", " - ", "  ", "\xa0", "·", "»", "«", "›", "•", "¦")
+_SEPARATORS = ("/", ";", ">", "\t", " - ", "  ", "·", "»", "«", "›", "•", "¦")
 _TRAIL = tuple(lx.fragments(lx.TRAIL))
 _FIND = lx.automaton({"filler": lx.FILLER, "script": lx.SCRIPT, "notice": lx.NOTICE, **lx.PROMPTS})
 _NOTICE_START = tuple(lx.fragments(lx.NOTICE))
@@ -79,8 +78,12 @@ def tidy(line: str) -> str:
 def _menu(raw: str, text: str, sk: str, words: list[str]) -> bool:
     if sk in lx.MENU_KEYS:
         return len(text) < 2 * len(sk) + 12
-    if any([x in raw for x in _SEPARATORS]):
-        parts = [p for p in map(lx.skeleton, _SEP.split(raw.strip())) if p]
+    own = raw.replace("\xa0", " ") if "\xa0" in raw else raw
+    present = [x for x in _SEPARATORS if x in own]
+    if present or "|" in own:
+        for x in present:
+            own = own.replace(x, "|")
+        parts = [p for p in map(lx.skeleton, own.split("|")) if p]
         if len(parts) >= 2 and sum(p in lx.MENU_KEYS for p in parts) >= 0.6 * len(parts):
             return True
     if len(words) >= 3 and text[-1] not in ".!?" and lx.skeleton(words[0]) in _MENU_START:  # labels with nothing but single spaces between them
@@ -115,18 +118,27 @@ def _random(words: list[str]) -> bool:
     return sum(1 for w in words if _MIXED.match(w)) >= 0.4 * len(words)
 
 
+#: Words of a paragraph that are looked at together for made-up Latin and keyboard mash.
+WINDOW = 14
+_MASH_STARTS = frozenset(lx.LOREM[i : i + 5] for i in range(len(lx.LOREM) - 4)) | {w[:5] for w in lx.MASH}
+
+
 def _mash(low: str) -> bool:
     return low in lx.MASH or low[:3] == "jkl" or len(low) > 1 and not low.strip("x") or len(low) >= 5 and low[:5] in lx.LOREM
 
 
-def is_lorem(words: list[str]) -> bool:
-    """Made-up Latin or keyboard mash: most words, and at least four."""
-    return len(words) >= 4 and sum(_mash(w.lower()) for w in words) >= 0.6 * len(words)
+def _sane(starts: list[str]) -> bool:
+    """Whether none of some words is mash, by their first five letters; doubtful ones are none."""
+    if not _MASH_STARTS.isdisjoint(starts):
+        return False
+    all_ = " ".join(starts)
+    return not ("jkl" in all_ or "xx" in all_)
 
 
-#: Words of a paragraph that are looked at together for made-up Latin and keyboard mash.
-WINDOW = 14
-_MASH_STARTS = frozenset(lx.LOREM[i : i + 5] for i in range(len(lx.LOREM) - 4)) | {w[:5] for w in lx.MASH}
+def is_lorem(words: list[str]) -> bool:
+    """Made-up Latin or keyboard mash: most words, and at least four."""
+    low = [w.lower() for w in words]
+    return len(low) >= 4 and not _sane([w[:5] for w in low]) and sum(map(_mash, low)) >= 0.6 * len(low)
 
 
 def has_lorem(words: list[str], low: list[str]) -> bool:
@@ -136,9 +148,7 @@ def has_lorem(words: list[str], low: list[str]) -> bool:
     """
     if len(words) <= WINDOW:
         return is_lorem(words)
-    some = low[::2]
-    starts = [w[:5] for w in some]
-    if _MASH_STARTS.isdisjoint(starts) and not any([x[:3] == "jkl" or x[:2] == "xx" for x in starts]):
+    if _sane([w[:5] for w in low[::2]]):
         return False
     hits = [_mash(w) for w in low]
     now = sum(hits[:WINDOW])
@@ -256,7 +266,7 @@ def _kind(raw: str, text: str, words: list[str], nw: int) -> str:
         return "credit"
     if len(sk) + nw < 0.7 * n and n - len(_ODD_CHAR.findall(text)) < 0.7 * n:
         return "junk"
-    if signs and 8 * len(_CODELIKE.findall(text)) >= nw:
+    if signs and 8 * (signs + text.count("function")) >= nw and 8 * len(_CODELIKE.findall(text)) >= nw:
         return "junk"
     if len(sk) < 0.5 * n and 2 * sum(map(str.isalpha, text)) < n and nw > 9:
         return "junk"
