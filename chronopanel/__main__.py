@@ -13,6 +13,7 @@ from . import schemas
 from .config import Config
 from .operators import quality, tables
 from .plans import pipeline
+from .session import discard
 from .sources import io
 
 COMMANDS = ("prepare", "discover-snapshots", "crawl", "extract", "visuals", "report", "run")
@@ -70,6 +71,7 @@ def main(args: list[str] | None = None) -> None:
         io.write_parquet(quality.review_sample(got, config.quality.manual_validation_sample_size), at("manual_validation_sample"))
         io.write_manifest(io.manifest(config, io.read_table(spark, at("firms"), schemas.FIRMS), chosen, got, now), at("run_manifest.json"))
         Path(at("coverage_report.md")).write_text(io.report(chosen, summary, config.run_id, now), encoding="utf-8")
+    discard(spark)
 
 
 if __name__ == "__main__":

@@ -18,11 +18,13 @@ from . import urls
 _NAMES = "document_title meta_description meta_keywords html_lang canonical_url og_title og_description og_site_name h1_text h2_text headings_json".split()
 _HEADING = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("text", T.StringType())])
 METADATA = T.StructType([*[T.StructField(n, T.StringType()) for n in _NAMES], T.StructField("headings", T.ArrayType(_HEADING))])
-TEXT = T.StructType([T.StructField("extracted_text", T.StringType()), T.StructField("extraction_method", T.StringType()), T.StructField("full_chars", T.IntegerType())])
+TEXT = T.StructType([T.StructField("extracted_text", T.StringType()), T.StructField("extraction_method", T.StringType()), T.StructField("full_chars", T.IntegerType()), T.StructField("language", T.StringType())])
 _HIDDEN = frozenset("script style noscript template head".split())
 _CHROME = frozenset("nav header footer aside form".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _BLOCK = frozenset("p div section article main h1 h2 h3 h4 h5 h6 li ul ol table tr td th blockquote pre br dd dt dl figure figcaption address header footer nav aside form body".split())
+#: Words that a block in a page's furniture needs to be text, and greatest share of them in links.
+DENSE_WORDS, DENSE_LINKS = 10, 0.3
 _SPACE = re.compile(r"\s+")
 
 
@@ -43,6 +45,7 @@ class _Reader(HTMLParser):
         self.open: list[str] = []
         self.full: list[str] = []
         self.main: list[list[str]] = [[]]
+        self.rest: list[list[tuple[str, bool]]] = [[]]  # blocks of navigation and the like: text, and whether it is a link
         self.in_title: list[str] | None = None
         self.in_heading: list | None = None
 
@@ -51,6 +54,8 @@ class _Reader(HTMLParser):
         if tag == "html" and self.lang is None:
             self.lang = a.get("lang")
         elif tag == "meta":
+            if a.get("http-equiv", "").lower() == "content-language":
+                self.meta.setdefault("content-language", a.get("content", ""))
             if (n := a.get("name", "")) and f"n:{n}" not in self.seen:
                 self.seen.add(f"n:{n}")
                 self.meta[n] = a.get("content", "")
@@ -65,6 +70,7 @@ class _Reader(HTMLParser):
             self.seen_title, self.in_title = True, []
         if tag in _BLOCK:
             self.main.append([])
+            self.rest.append([])
         if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
             self.in_heading = [int(tag[1]), []]
         if tag not in _VOID:
@@ -76,6 +82,7 @@ class _Reader(HTMLParser):
                 pass
         if tag in _BLOCK:
             self.main.append([])
+            self.rest.append([])
         if tag == "title" and self.in_title is not None:
             self.title, self.in_title = "".join(self.in_title).strip(), None
         if self.in_heading is not None and tag == f"h{self.in_heading[0]}":
@@ -94,6 +101,8 @@ class _Reader(HTMLParser):
         self.full.append(data.strip())
         if not any(t in _CHROME for t in self.open):
             self.main[-1].append(_SPACE.sub(" ", data))
+        else:
+            self.rest[-1].append((_SPACE.sub(" ", data), "a" in self.open))
 
 
 def read(html: bytes | None) -> _Reader:
@@ -118,13 +127,28 @@ def metadata_of(html: bytes | None) -> dict:
     }
 
 
+def _dense(blocks: list[list[tuple[str, bool]]]) -> list[str]:
+    """Blocks of furniture that read as text: enough words, few of them in links."""
+    out = []
+    for block in blocks:
+        text = " ".join("".join(t for t, _ in block).split())
+        linked = sum(len(t.split()) for t, link in block if link)
+        n = len(text.split())
+        if n >= DENSE_WORDS and linked <= DENSE_LINKS * n:
+            out.append(text)
+    return out
+
+
 def text_of(html: bytes | None) -> dict:
-    """Main text, a line for each block; all visible text if there is no main text; the method's name; characters of all visible text."""
+    """Main text, a line for each block; without any the dense blocks of the page's furniture, else all visible text; the method's name; characters of all
+    visible text; the language that the page gives itself (lang, else content-language, else og:locale)."""
     r = read(html)
     full = " ".join(r.full)
     main = "\n".join(x for x in (" ".join("".join(p).split()) for p in r.main) if x)
-    text, method = (main, "main_blocks") if main else (full, "visible_text") if full else (None, None)
-    return {"extracted_text": text, "extraction_method": method, "full_chars": len(full)}
+    dense = "" if main else "\n".join(_dense(r.rest))
+    text, method = (main, "main_blocks") if main else (dense, "dense_blocks") if dense else (full, "visible_text") if full else (None, None)
+    named = r.lang or r.meta.get("content-language") or r.meta.get("language") or r.og.get("og:locale") or None
+    return {"extracted_text": text, "extraction_method": method, "full_chars": len(full), "language": named if text else None}
 
 
 @F.pandas_udf(METADATA)

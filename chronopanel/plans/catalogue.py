@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +12,7 @@ from ..config import Config, Quality, Selection
 from ..functions import html, urls
 from ..functions import text as tx
 from ..operators import asof, captures, grid, quality, tables
-from ..session import shared_dir
+from ..session import scratch_path
 from ..sources import io
 from ..streaming import captures as stream
 from . import pipeline
@@ -235,14 +234,14 @@ def cache_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Snapshots written as CSV with ISO dates and read again."""
-    path = f"{shared_dir(spark)}/chronopanel/csv-{uuid.uuid4().hex}.csv"
+    path = f"{scratch_path(spark, 'csv')}/snapshots.csv"
     io.write_csv(_t(spark, sf, "snapshots"), path, schemas.SNAPSHOTS)
     return io.read_table(spark, path, schemas.SNAPSHOTS).select("firm_id", "relative_timepoint", "target_date", "observation_is_future", "temporal_distance_days", F.date_format("discovered_at", "yyyy-MM-dd HH:mm:ss").alias("discovered"))
 
 
 def parquet_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Firms written as Parquet by tier and read again."""
-    path = f"{shared_dir(spark)}/chronopanel/parquet-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "parquet")
     io.write_parquet(_firms(spark, sf), path, ["wayback_tier"])
     return io.read_table(spark, path, schemas.FIRMS).select("firm_id", "company", "event_year", "wayback_tier")
 
@@ -306,7 +305,7 @@ def stream_captures(spark: SparkSession, sf: str) -> DataFrame:
     """The capture index read as a stream, each capture once, written by a streaming query and read again."""
     source = spark.readStream.schema(_t(spark, sf, "captures").schema).parquet(f"{sf}/captures.parque[t]")
     own = stream.distinct_captures(source.withColumn("arrived_at", F.lit("2026-01-01").cast("timestamp"))).select("firm_id", "timestamp", "original")
-    path = f"{shared_dir(spark)}/chronopanel/stream-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "stream")
     own.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("firm_id string, timestamp string, original string").parquet(f"{path}/rows")
 

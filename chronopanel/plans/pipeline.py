@@ -62,7 +62,7 @@ def page_rows(chosen: DataFrame, visited: DataFrame, snapshots: DataFrame, confi
     both = both.select(
         "*", "m.*", F.col("d.scheme").alias("scheme"), F.col("d.hostname").alias("hostname"), F.col("d.subdomain").alias("subdomain"), F.col("d.registrable_domain").alias("registrable_domain"),
         F.col("d.suffix").alias("suffix"), F.col("d.normalized_url").alias("normalized_url"), F.col("d.path").alias("path"), F.col("d.query").alias("query"),
-        text.alias("extracted_text"), F.when(body, F.col("t.extraction_method")).alias("extraction_method"), F.when(body, F.col("m.html_lang")).alias("text_language"),
+        text.alias("extracted_text"), F.when(body, F.col("t.extraction_method")).alias("extraction_method"), F.when(body, F.col("t.language")).alias("text_language"),
         F.length(text).alias("character_count"), F.when(body, tx.word_count(text)).alias("word_count"), F.when(body, tx.word_count(text)).alias("token_count"),
         F.when(body, tx.quality_score(text, F.octet_length("content"))).alias("extraction_quality_score"),
         F.when(body & (F.col("t.full_chars") > 0) & (F.length(text) > 0), F.round(1.0 - F.length(text) / F.col("t.full_chars"), 3)).alias("boilerplate_ratio"),

@@ -229,4 +229,18 @@ def test_nearest_counts_candidates_without_date(spark):
 def test_html_stage_on_odd_pages(spark):
     for page in (b"<title>a<title>b</title>", b"<h2>x<h1>y</h2></h1><p>z", b"<script><p>no</p></script>", b"\xff\xfe<p>\xe4", b"<<<>>>", b"<html lang><meta name=description><link rel=canonical>"):
         html.metadata_of(page), html.text_of(page), html.read(page).links
-    assert html.text_of(b"<nav>nur Menue</nav>") == {"extracted_text": "nur Menue", "extraction_method": "visible_text", "full_chars": 9}
+    assert html.text_of(b"<nav>nur Menue</nav>") == {"extracted_text": "nur Menue", "extraction_method": "visible_text", "full_chars": 9, "language": None}
+    dense = html.text_of(b'<html><meta http-equiv="Content-Language" content="de"><aside><p>Hier steht ein ganzer Satz mit mehr als zehn Worten in der Seitenleiste.</p><p><a>Eins zwei drei vier fuenf sechs sieben acht neun zehn</a></p></aside>')
+    assert (dense["extraction_method"], dense["language"]) == ("dense_blocks", "de") and dense["extracted_text"].count("\n") == 0
+
+
+def test_intermediate_tables_are_deleted(spark):
+    from pathlib import Path
+
+    from chronopanel import session
+
+    with session.scratch(spark):
+        got = session.materialise(spark.range(5).toDF("x"), "t")
+        path = Path(got.inputFiles()[0].removeprefix("file://")).parent
+        assert got.count() == 5 and path.exists()
+    assert not path.exists() and session.discard(spark, 10**9) == 0
