@@ -16,7 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -27,8 +27,8 @@ TOKENIZERS = "/opt/tokenizers"
 FILES = {"gpt2": "byte_bpe_50k.tiktoken", "cl100k_base": "byte_bpe_multi_50k.tiktoken", "o200k_base": "byte_bpe_multi_50k.tiktoken"}
 # Fixed value: how these vocabularies split text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Buckets at most, words that a worker remembers, parts into which a bucket's ranks are counted.
-BUCKETS, MEMORY, SALT = 128, 1_000_000, 64
+#: Buckets at most, words that a worker remembers, items of a bucket that are ranked together.
+BUCKETS, MEMORY, RANKED = 128, 1_000_000, 200_000
 
 
 class Counter:
@@ -187,23 +187,22 @@ def containers(counts: DataFrame, pack_targets: DataFrame, buckets: int = BUCKET
             first += kind.count
         slots = spark.createDataFrame(rows, "bucket int, lo long, hi long, start long, each int")
         bucket = F.array_position(F.array(*[F.lit(u) for u in upper]), F.element_at(F.filter(F.array(*[F.lit(u) for u in upper]), lambda u: u >= F.col("size")), 1)) - 1 if upper else F.lit(0)
-        ranked = _ranks(items.withColumn("bucket", bucket.cast("int")))
+        ranked = _ranks(items.withColumn("bucket", bucket.cast("int")), per)
         placed = ranked.join(F.broadcast(slots), (ranked["bucket"] == slots["bucket"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
         got = placed.select(F.lit(int(t["target_id"])).alias("target_id"), (F.col("start") + F.floor((F.col("rank") - F.col("lo")) / F.col("each"))).cast("long").alias("container_id"), "doc_id", "first_token", F.col("size").alias("tokens"))
         out = got if out is None else out.unionByName(got)
     return out if out is not None else spark.createDataFrame([], "target_id int, container_id long, doc_id long, first_token long, tokens long")
 
 
-def _ranks(items: DataFrame) -> DataFrame:
-    """``items`` with ``rank``, from 0 in each bucket. A bucket, however many items it has, is ranked in parts whose sizes are counted first."""
-    from pyspark.sql import Window
-
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "first_token"), F.lit(SALT)).cast("int"))
-    sizes = salted.groupBy("bucket", "salt").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offset = sizes.select("bucket", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("bucket", "salt").orderBy("doc_id", "first_token")
-    return salted.withColumn("r", F.row_number().over(inside) - 1).join(F.broadcast(offset), ["bucket", "salt"]).select("doc_id", "first_token", "size", "bucket", (F.col("r") + F.col("offset")).alias("rank"))
+def _ranks(items: DataFrame, per: list[int], together: int = RANKED) -> DataFrame:
+    """``items`` with ``rank``, from 0 in each bucket. A bucket of more than ``together`` items (``per``: items of each) is ranked in parts whose sizes are counted first."""
+    parts = F.array(*[F.lit(max(1, -(-n // together))) for n in per]) if per else F.array(F.lit(1))
+    salted = items.withColumn("part", F.pmod(F.xxhash64("doc_id", "first_token"), F.get(parts, F.col("bucket"))).cast("int"))
+    sizes = salted.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = sizes.select("bucket", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("bucket", "part").orderBy("doc_id", "first_token")
+    return salted.withColumn("r", F.row_number().over(inside) - 1).join(offset, ["bucket", "part"]).select("doc_id", "first_token", "size", "bucket", (F.col("r") + F.col("offset")).alias("rank"))
 
 
 def packed(documents: DataFrame, pack_targets: DataFrame, folder: str = TOKENIZERS, files: dict[str, str] = FILES) -> DataFrame:

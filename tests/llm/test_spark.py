@@ -236,3 +236,11 @@ def test_shared_spans_equal_brute_force(spark, monkeypatch):
                 seen[k : k + 500] = [True] * 500
         cover[a] = sum(seen)
     assert {r["doc_id"]: r["shared_chars"] for r in spans.coverage(docs).collect()} == cover
+
+
+def test_ranks_in_parts(spark):
+    items = spark.createDataFrame([(i, 0, 5, i % 3) for i in range(100)], "doc_id long, first_token long, size long, bucket int")
+    got = {}
+    for r in pack._ranks(items, [34, 33, 33], 7).collect():
+        got.setdefault(r["bucket"], []).append(r["rank"])
+    assert {b: sorted(x) for b, x in got.items()} == {0: list(range(34)), 1: list(range(33)), 2: list(range(33))}
