@@ -97,10 +97,10 @@ def _binary(flat: np.ndarray, ends: list[int]) -> pa.Array:
     return pa.array([flat[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())
 
 
-def _reader(names: list[str], schema: str, model: hdlang.Profiles | None, lists: dict[str, tuple[int, ...]], marks: bool, languages: bool) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+def _reader(names: list[str], schema: str, model: hdlang.Profiles | None, lists: dict[str, tuple[int, ...]] | None, marks: bool, languages: bool) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     """The work of :func:`scan` on a batch of pages."""
-    stats = bool(lists)
-    known = [frozenset(w for w, of in lists.items() if k in of).__contains__ for k in range(len(model.langs) if model else 0)]
+    stats = lists is not None
+    known = [frozenset(w for w, of in (lists or {}).items() if k in of).__contains__ for k in range(len(model.langs) if model else 0)] or [frozenset().__contains__]
     plain = np.array([k in ("prose", "head", "list", "table", "junk", "notice", "filler", "script") for k in pl.KINDS])
 
     def chunk(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -164,10 +164,10 @@ def scan(table: DataFrame, model: hdlang.Profiles | None = None, common_words: D
     if common_words is not None and model is not None:
         rows = common_words.select("lang", "word").where(F.col("lang").isNotNull() & F.col("word").isNotNull()).distinct().toPandas()
         lists = {w: tuple(model.langs.index(x) for x in g if x in model.langs) for w, g in rows.groupby("word")["lang"]}
-    stats = bool(lists)
+    stats = common_words is not None and model is not None
     schema = f"{KEY_SCHEMA}, a long, b long, u long, d long" + (", text_language string" if languages else "") + ", kind binary, words binary, size binary, own binary, h array<long>"
     schema += (", pieces array<string>, odd array<string>" if marks else "") + (", lang int" if model else "") + (", stats binary" if stats else "") + (", cosines binary" if languages else "")
-    chunk = _reader(names, schema, model, lists, marks, languages)
+    chunk = _reader(names, schema, model, lists if stats else None, marks, languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,7 +294,7 @@ def labelled(lined: DataFrame, costs: layout.Costs, langs: tuple[str, ...] = ())
                 np.add.at(sums, x.of[~chrome], flat[~chrome].astype(float))
                 out.append(pa.ListArray.from_arrays(pa.array(np.arange(x.pages + 1, dtype=np.int32) * len(SUMS)), pa.array(sums.ravel())))
             if spoken:
-                cosines = x.take("cosines", np.float32).reshape(-1, max(len(langs), 1))[x.at]
+                cosines = x.take("cosines", np.float32).reshape(-1, len(langs))[x.at] if langs else np.zeros((len(x.at), 0))
                 first, last = np.searchsorted(x.of, np.arange(x.pages)), np.searchsorted(x.of, np.arange(x.pages), side="right")
                 rows = [stretches(x.no[i:j], x.kind[i:j], x.words[i:j], ~chrome[i:j], cosines[i:j], langs) for i, j in zip(first.tolist(), last.tolist(), strict=True)]
                 out.append(pa.array([[dict(zip(("from_line", "to_line", "lang", "confidence", "words"), s, strict=True)) for s in r] for r in rows], pa.list_(segment)))

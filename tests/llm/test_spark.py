@@ -244,3 +244,14 @@ def test_ranks_in_parts(spark):
     for r in pack._ranks(items, [34, 33, 33], 7).collect():
         got.setdefault(r["bucket"], []).append(r["rank"])
     assert {b: sorted(x) for b, x in got.items()} == {0: list(range(34)), 1: list(range(33)), 2: list(range(33))}
+
+
+def test_page_operators_without_common_words_and_with_clashing_columns(spark, words):
+    t = table(spark, [page(i, f"{DE}\n{EN}") for i in range(3)] + EDGE)
+    for c in ("a", "b", "u", "d", "h", "kind", "own", "size", "repeats", "chrome", "lang", "stats", "sums", "text", "token", "s", "ids", "at", "_p"):
+        t = t.withColumn(c, F.lit("clash"))
+    for w in (words, words.limit(0)):
+        own = labels(t, w)
+        assert own.count() == 6 and quality.assessed(own).count() == 6 and language.segments(own).where("lang is null").count() == 0
+    assert language.segments(own).count() == 0 and language.found(own).count() == 0
+    assert lines.cleaned(t).count() == 6 and encoding.restored(t).count() == 0 and bodies.bodies(t, own).count() == 6
