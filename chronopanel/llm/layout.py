@@ -1,8 +1,8 @@
 """Body and chrome of pages by minimum cut, with costs fitted to the site's own repetition.
 
-Each line is a node. Its terminal capacities are the log-odds of four features: its kind, in how many texts of its site it stands (by length),
+Each line is a node. Its terminal capacities are the log-odds of four features: its kind, how often its site repeats it (by length),
 its place on the page, and whether it repeats the page's title. Two of them start from votes: what a kind of :mod:`pagelines` says about a
-line, and that whole sentences which recur in several texts of a site belong to the site. Expectation maximisation over counts of all lines
+line, and that whole sentences which recur in many texts of a site belong to the site. Expectation maximisation over counts of all lines
 fits all four; kind and repetition may move from their votes by at most ``SWING``, so rare kinds don't drift. Neighbours are joined by edges: lines
 of a block that are alike, other neighbours in a block, and neighbours across an empty line. Blocks of lines stand for nearness in the document tree, which the
 tables don't hold. Edge weights are half the log odds ratio of neighbours' labels. The cut of least cost then decides.
@@ -23,8 +23,11 @@ KINDS = (*pl.KINDS, "notice+", "script+")
 CODE = {k: i for i, k in enumerate(KINDS)}
 #: Words of other content that make a notice one beside it.
 REAL_WORDS = 5
-#: Length classes of lines in characters, and the numbers of texts of a site from which a line counts as repeated a little, often and very often.
-LENGTHS, REPEATS = (12, 40), (2, 4, 8)
+#: Length classes of lines in characters.
+LENGTHS = (12, 40)
+#: A line that stands in ``OFTEN`` texts of its site or more has repetition level 3; in fewer, but at least two and at least ``SHARE`` of the site's texts, 2; in several, 1, as
+#: a sentence may be used again in a few bodies of a large site; in one, 0.
+OFTEN, SHARE = 8, 0.18
 #: Kinds that repeat for reasons of their own.
 OWN_REASONS = ("list", "table", "junk", "notice", "filler", "script")
 #: Probability of chrome that a kind votes for.
@@ -32,8 +35,8 @@ VOTES = {
     **dict.fromkeys(("menu", "trail", "teaser", "dated", "footer", "phone", "address", *lx.PROMPTS, "script+"), 0.97),
     "slogan": 0.8, "notice+": 0.9, "head": 0.2, **dict.fromkeys(("prose", "list", "table", "junk", "notice", "filler", "script"), 0.03),
 }
-#: Log-odds that repetition votes for, by length class and number of texts.
-REPEAT_VOTES = ((-0.5, 0.0, 0.0, 1.0), (-0.5, 1.0, 3.0, 6.0), (-0.5, 6.0, 6.0, 6.0))
+#: Log-odds that repetition votes for, by length class and level.
+REPEAT_VOTES = ((-0.5, 0.0, 0.0, 1.0), (-0.5, 0.0, 1.0, 6.0), (-0.5, 0.0, 4.0, 6.0))
 #: How far a fitted cost may move from its vote, largest cost of place and title, rounds of fitting, lines that count as seen before any is, largest weight of an edge.
 SWING, CLIP, ROUNDS, SEEN, EDGE = 1.0, 4.0, 12, 5.0, 2.5
 SHAPE = (len(KINDS), 24, 6, 2)
@@ -74,8 +77,8 @@ def prior() -> Costs:
     return Costs(KIND_VOTES, REPETITION_VOTES, np.zeros(6), np.array([0.0, -3.0]), np.array([EDGE, 0.8, 0.0]))
 
 
-def describe(of: np.ndarray, no: np.ndarray, kind: np.ndarray, words: np.ndarray, size: np.ndarray, own: np.ndarray, texts: np.ndarray) -> Lines:
-    """Features of lines: page, number in the page, kind, words, length class, whether it repeats the title, and texts of the site that hold it."""
+def describe(of: np.ndarray, no: np.ndarray, kind: np.ndarray, words: np.ndarray, size: np.ndarray, own: np.ndarray, level: np.ndarray) -> Lines:
+    """Features of lines: page, number in the page, kind, words, length class, whether it repeats the title, and repetition level."""
     n = len(of)
     pages = int(of[-1]) + 1 if n else 0
     first = np.concatenate(([True], of[1:] != of[:-1])) if n else np.zeros(0, bool)
@@ -83,12 +86,11 @@ def describe(of: np.ndarray, no: np.ndarray, kind: np.ndarray, words: np.ndarray
     order = np.arange(n) - np.repeat(np.flatnonzero(first), count[count > 0])
     total = count[of]
     place = np.select([total == 1, order == 0, order == total - 1, order <= 2, order >= total - 3], [5, 0, 4, 1, 3], 2)
-    level = np.searchsorted(REPEATS, texts, side="right")
     reason = _REASON[kind]
-    real = np.bincount(of, weights=words * (_CONTENT[kind] & ((level == 0) | reason)), minlength=pages)[of] >= REAL_WORDS
+    real = np.bincount(of, weights=words * (_CONTENT[kind] & ((level < 2) | reason)), minlength=pages)[of] >= REAL_WORDS
     filler = np.bincount(of, weights=kind == CODE["filler"], minlength=pages)[of] > 0
     kind = np.where((kind == CODE["notice"]) & real, CODE["notice+"], np.where((kind == CODE["script"]) & (real | filler), CODE["script+"], kind))
-    alike = kind * 2 + (level > 0)
+    alike = kind * 2 + (level > 1)
     edge = np.full(n, -1)
     if n:
         inner = np.flatnonzero(~first)
@@ -188,16 +190,16 @@ def summary(of: np.ndarray, pages: int, kind: np.ndarray, words: np.ndarray, chr
     return total, odd, (notice > 0) & (plain < REAL_WORDS) & (filler == 0)
 
 
-def split_page(text: str | None, titles: tuple[str | None, ...] = (), texts: dict[int, int] | None = None, costs: Costs | None = None) -> Page:
-    """Label the lines of one page. ``texts``: texts of the site that hold a line, by its number (from 1); ``costs``: fitted costs, else the votes.
+def split_page(text: str | None, titles: tuple[str | None, ...] = (), levels: dict[int, int] | None = None, costs: Costs | None = None) -> Page:
+    """Label the lines of one page. ``levels``: repetition level of a line by its number (from 1); ``costs``: fitted costs, else the votes.
     Null or empty text gives no lines."""
     lines = [pl.classify(x) for x in (text or "").split("\n")]
     at = np.array([i for i, x in enumerate(lines) if x.kind], dtype=np.int64)
     own = own_titles(titles)
-    seen = texts or {}
+    seen = levels or {}
     column = lambda f: np.array([f(i) for i in at], dtype=np.int64)
     kind, words = column(lambda i: pl.CODE[lines[i].kind]), column(lambda i: lines[i].words)
-    x = describe(np.zeros(len(at), np.int64), at, kind, words, column(lambda i: size_class(lines[i].text)), column(lambda i: is_own(lines[i], own)), column(lambda i: seen.get(int(i) + 1, 1)))
+    x = describe(np.zeros(len(at), np.int64), at, kind, words, column(lambda i: size_class(lines[i].text)), column(lambda i: is_own(lines[i], own)), column(lambda i: seen.get(int(i) + 1, 0)))
     chrome = cut(x, costs or prior())
     mark: list[bool | None] = [None] * len(lines)
     for i, c in zip(at.tolist(), chrome.tolist(), strict=True):

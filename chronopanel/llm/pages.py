@@ -180,26 +180,28 @@ def scan(table: DataFrame, model: hdlang.Profiles | None = None, common_words: D
 
 
 def with_repeats(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``repeats``: number of each line (from 0) that stands in several texts of its domain, and in how many, up to the most that counts.
+    """``lines`` with ``repeats``: number of each line (from 0) that stands in several texts of its domain, and its repetition level, see :mod:`layout`.
 
     Copies of a page under two addresses are one text. Only hashes travel. Counting aggregates before its shuffle; the join back is on
     (domain, line), where adaptive execution splits what a hot line gathers.
     """
-    narrow = lines.where(F.col("d").isNotNull()).select(*ID, "d", F.posexplode("h").alias("no", "h")).where(F.col("h") != 0)
-    often = narrow.select("d", "h", "u").distinct().groupBy("d", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= layout.REPEATS[0])
-    often = often.select("d", "h", F.least("n", F.lit(layout.REPEATS[-1])).cast("int").alias("n"))
-    seen = narrow.join(often, ["d", "h"]).groupBy(*ID).agg(F.collect_set(F.struct("no", "n")).alias("repeats"))
+    own = lines.where(F.col("d").isNotNull())
+    narrow = own.select(*ID, "d", F.posexplode("h").alias("no", "h")).where(F.col("h") != 0)
+    site = own.select("d", "u").distinct().groupBy("d").agg(F.count(F.lit(1)).alias("texts"))
+    often = narrow.select("d", "h", "u").distinct().groupBy("d", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).join(site, "d")
+    level = F.when(F.col("n") >= layout.OFTEN, 3).when(F.col("n") >= layout.SHARE * F.col("texts"), 2).otherwise(1)
+    seen = narrow.join(often.select("d", "h", level.alias("level")), ["d", "h"]).groupBy(*ID).agg(F.collect_set(F.struct("no", "level")).alias("repeats"))
     return lines.drop("h", "d").join(seen, ID, "left")
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and flat values (number, texts) of the column ``repeats``; a null list is empty."""
+    """Offsets and flat values (number, level) of the column ``repeats``; a null list is empty."""
     of, no, n = [], [], []
     for i, x in enumerate(column.to_pylist()):
         for y in x or ():
             of.append(i)
             no.append(y["no"])
-            n.append(y["n"])
+            n.append(y["level"])
     return np.array(of, dtype=np.int64), np.array([no, n], dtype=np.int64).reshape(2, -1)
 
 
@@ -213,14 +215,14 @@ class _Flat:
         begin = np.concatenate(([0], np.cumsum(count)))[:-1] if len(count) else np.zeros(0, np.int64)
         of = np.repeat(np.arange(len(count)), count)
         no = np.arange(len(kind)) - np.repeat(begin, count)
-        texts = np.ones(len(kind), dtype=np.int64)
+        level = np.zeros(len(kind), dtype=np.int64)
         at, (number, n) = _lists(batch.column("repeats"))
         if len(at):
-            texts[begin[at] + number] = n
+            level[begin[at] + number] = n
         self.at = np.flatnonzero(kind > 0)
         self.pages, self.of, self.no = len(count), of[self.at], no[self.at]
         self.kind, self.words = kind[self.at].astype(np.int64), take("words", np.int32)[self.at].astype(np.int64)
-        self.lines = layout.describe(self.dense(), self.no, self.kind, self.words, take("size", np.int8)[self.at].astype(np.int64), take("own", bool)[self.at], texts[self.at])
+        self.lines = layout.describe(self.dense(), self.no, self.kind, self.words, take("size", np.int8)[self.at].astype(np.int64), take("own", bool)[self.at], level[self.at])
         self.take = take
 
     def dense(self) -> np.ndarray:

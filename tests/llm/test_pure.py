@@ -49,7 +49,7 @@ def test_page_body_is_kept_and_chrome_dropped():
 
 def test_repeated_sentence_is_chrome_and_damaged_menu_is_still_known():
     text = "HÃ¤ndlersuche\nWir liefern seit 1950 in alle Länder.\nDie Familie führt das Haus heute in der dritten Generation mit großer Sorgfalt."
-    page = layout.split_page(text, (), {2: 8})
+    page = layout.split_page(text, (), {2: 3})
     assert page.body == [False, False, True]
 
 
@@ -225,7 +225,7 @@ def test_fitted_costs_follow_the_votes_and_learn_places():
     kind = np.where(top, layout.CODE["menu"], layout.CODE["prose"])
     lost = top & (rng.random(n) < 0.2)
     kind[lost] = layout.CODE["head"]
-    x = layout.describe(of, no, kind, np.full(n, 9), np.full(n, 1), np.zeros(n, bool), np.where(top & ~lost, 9, 1))
+    x = layout.describe(of, no, kind, np.full(n, 9), np.full(n, 1), np.zeros(n, bool), np.where(top & ~lost, 3, 0))
     costs = layout.fit(*layout.tally(x))
     assert costs.place[0] > 2 and costs.place[2] < 0 and abs(costs.kind[layout.CODE["menu"]] - layout.KIND_VOTES[layout.CODE["menu"]]) <= layout.SWING
     assert (layout.cut(x, costs) == top).mean() > 0.99
@@ -238,7 +238,7 @@ def test_cut_equals_the_whole_minimum():
     of = np.sort(rng.integers(0, 60, n))
     of = np.unique(of, return_inverse=True)[1]
     no = np.arange(n)
-    x = layout.describe(of, no, rng.integers(1, len(pl.KINDS), n), rng.integers(1, 20, n), rng.integers(0, 3, n), rng.random(n) < 0.1, rng.integers(1, 12, n))
+    x = layout.describe(of, no, rng.integers(1, len(pl.KINDS), n), rng.integers(1, 20, n), rng.integers(0, 3, n), rng.random(n) < 0.1, rng.integers(0, 4, n))
     costs = layout.Costs(rng.normal(0, 2, len(layout.KINDS)), rng.normal(0, 1, 24), rng.normal(0, 1, 6), rng.normal(0, 1, 2), np.array([2.5, 0.9, 0.2]))
     odds, got = layout.unary(x, costs), layout.cut(x, costs)
     for p in range(int(of[-1]) + 1):

@@ -255,3 +255,11 @@ def test_page_operators_without_common_words_and_with_clashing_columns(spark, wo
         assert own.count() == 6 and quality.assessed(own).count() == 6 and language.segments(own).where("lang is null").count() == 0
     assert language.segments(own).count() == 0 and language.found(own).count() == 0
     assert lines.cleaned(t).count() == 6 and encoding.restored(t).count() == 0 and bodies.bodies(t, own).count() == 6
+
+
+def test_standing_sentences_are_chrome_and_reused_ones_body(spark, words):
+    own = lambda i: f"Die Halle Nummer {i} wurde im Mai mit der Familie und allen Kunden eröffnet und danach bezogen."
+    standing, reused = "Seit drei Generationen steht unser Haus für gute Maschinen aus der Stadt.", "Das Werk liefert alle Pressen in viele Länder der Welt und baut sie auch um."
+    rows = [page(i, "\n".join([own(i), *([standing] if i % 3 == 0 else []), *([reused] if i in (4, 5) else []), own(i + 500)])) for i in range(60)]
+    got = {(r[2].rsplit("/", 1)[1], r["line_no"]) for r in bodies.found(labels(table(spark, rows), words)).collect()}
+    assert got == {(str(i), 2) for i in range(0, 60, 3)}
