@@ -172,7 +172,7 @@ def _least(key: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 
 #: Characters that are parsed at once.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 500_000
 
 
 def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -241,12 +241,13 @@ def candidates(anchor: DataFrame) -> DataFrame:
     return both.distinct().groupBy("a", "b").agg(F.collect_list("shift").alias("shifts"))
 
 
-def stretches(documents: DataFrame, least: int = LEAST) -> DataFrame:
+def stretches(documents: DataFrame, least: int = LEAST, own: DataFrame | None = None) -> DataFrame:
     """``a, b, start_a, start_b, length``: all shared stretches of ``least`` or more characters of documents a < b with different texts.
 
     One document stands for all that have its text. Texts are fetched once for each pair and compared over their whole length for every shift.
+    ``own``: :func:`classes` of the documents, if they are at hand.
     """
-    own = classes(documents)
+    own = classes(documents) if own is None else own
     first = own.where((F.col("doc_id") == F.col("class_id")) & (F.col("n") >= least)).select("doc_id")
     texts = documents.select("doc_id", "text").join(first, "doc_id")
     pairs = materialise(candidates(materialise(anchor_table(texts, least), "anchors")), "pairs")
@@ -269,8 +270,9 @@ def links(documents: DataFrame, least: int = LEAST) -> DataFrame:
 
 def found(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """``doc_id_a, doc_id_b`` with a < b of all documents that share a stretch, those with the same text included."""
-    own = materialise(classes(documents).where(F.col("n") >= least).select("doc_id", "class_id"), "classes")
-    pairs = stretches(documents, least).select("a", "b").distinct()
+    own = materialise(classes(documents).where(F.col("n") >= least), "classes")
+    pairs = stretches(documents, least, own).select("a", "b").distinct()
+    own = own.select("doc_id", "class_id")
     left, right = own.select(F.col("doc_id").alias("x"), F.col("class_id").alias("a")), own.select(F.col("doc_id").alias("y"), F.col("class_id").alias("b"))
     across = pairs.join(left, "a").join(right, "b").select("x", "y")
     within = left.join(right.withColumnRenamed("b", "a"), "a").where(F.col("x") < F.col("y")).select("x", "y")
@@ -282,7 +284,8 @@ def coverage(documents: DataFrame, least: int = LEAST) -> DataFrame:
 
     A text that occurs more than once is shared whole. Overlapping stretches of a document count once, by a running maximum of their ends.
     """
-    found_ = materialise(stretches(documents, least), "stretches")
+    own = materialise(classes(documents), "classes")
+    found_ = materialise(stretches(documents, least, own), "stretches")
     each = found_.select(F.col("a").alias("class_id"), F.col("b").alias("other"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("length")).alias("e")).unionByName(
         found_.select(F.col("b").alias("class_id"), F.col("a").alias("other"), F.col("start_b").alias("s"), (F.col("start_b") + F.col("length")).alias("e"))
     )
@@ -290,7 +293,6 @@ def coverage(documents: DataFrame, least: int = LEAST) -> DataFrame:
     before = Window.partitionBy("class_id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     new = each.select("class_id", "s", "e").distinct().withColumn("reached", F.coalesce(F.max("e").over(before), F.lit(0)))
     chars = new.groupBy("class_id").agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", "reached"))).alias("chars"))
-    own = classes(documents)
     copies = own.groupBy("class_id").agg(F.count(F.lit(1)).alias("copies"))
     out = own.join(copies, "class_id").join(chars, "class_id", "left").join(links, "class_id", "left")
     whole = (F.col("copies") > 1) & (F.col("n") >= least)
