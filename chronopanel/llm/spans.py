@@ -230,11 +230,11 @@ def candidates(anchor: DataFrame) -> DataFrame:
     Anchors of one document only, and those that always follow the same one at the same distance, are dropped before any pair is made. The documents
     of an anchor are joined in pieces, so an anchor of many documents spreads over tasks.
     """
+    keys = anchor.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
+    shared = materialise(anchor.join(materialise(keys, "shared-keys"), "key"), "shared-anchors")  # few of all: the join needs no shuffle while the keys are few
     link = F.struct("before", "gap")
-    shared = anchor.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"), F.min(link).alias("l"), F.max(link).alias("h"))
-    heads = (F.col("lo") != F.col("hi")) & ((F.col("l") != F.col("h")) | (F.col("l.gap") < 0))
-    pieces = F.ceil(F.col("n") / PIECE).cast("int").alias("pieces")
-    some = materialise(anchor.select("key", "doc_id", "pos").join(shared.where(heads).select("key", pieces), "key"), "shared-anchors")
+    heads = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(link).alias("l"), F.max(link).alias("h")).where((F.col("l") != F.col("h")) | (F.col("l.gap") < 0))
+    some = shared.select("key", "doc_id", "pos").join(heads.select("key", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces")), "key")
     a = some.select("key", F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int").alias("piece"), F.col("doc_id").alias("a"), F.col("pos").alias("pa"))
     b = some.select("key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("doc_id").alias("b"), F.col("pos").alias("pb"))
     both = a.join(b, ["key", "piece"]).where(F.col("a") < F.col("b")).select("a", "b", (F.col("pa") - F.col("pb")).alias("shift"))
