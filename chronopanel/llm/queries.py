@@ -120,6 +120,14 @@ with l as (select distinct registrable_domain, firm_id, relative_timepoint, orig
              trim(regexp_replace(translate(x, chr(9) || chr(160), '  '), ' +', ' ', 'g'), ' ') as line_text
            from (select *, unnest(string_split(extracted_text, chr(10))) as x from pages where original_archived_url is not null and registrable_domain is not null))
 select registrable_domain, line_text from l where line_text <> '' group by all having count(*) >= 8""",
+    "p7_cleaned": """
+with p as (select distinct firm_id, relative_timepoint, original_archived_url, registrable_domain, extracted_text from pages
+           where original_archived_url is not null and trim(translate(extracted_text, chr(10) || chr(9) || chr(160), '')) <> ''),
+t as (select *, string_split(extracted_text, chr(10)) as l, list_transform(string_split(extracted_text, chr(10)), lambda x: trim(regexp_replace(translate(x, chr(9) || chr(160), '  '), ' +', ' ', 'g'), ' ')) as k from p),
+e as (select distinct registrable_domain, firm_id, relative_timepoint, original_archived_url, unnest(k) as x from t where registrable_domain is not null),
+f as (select registrable_domain, list(x) as often from (select registrable_domain, x from e where x <> '' group by all having count(*) >= 8) group by 1),
+c as (select t.*, list_filter(range(1, len(l) + 1), lambda i: not coalesce(list_contains(often, k[i]), false)) as keep from t left join f using (registrable_domain))
+select firm_id, relative_timepoint, original_archived_url, array_to_string(list_transform(keep, lambda i: l[i]), chr(10)) as text, cast(len(l) - len(keep) as integer) as removed_lines from c""",
     "p10_classes": "select doc_id, min(doc_id) over (partition by text) as class_id from documents where doc_id is not null and text is not null",
     "p9_found": r"""
 with d as (select doc_id, list_filter(regexp_split_to_array(lower(nfc_normalize(text)), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from documents),
