@@ -97,18 +97,19 @@ def train(counts: dict[str, np.ndarray], seed: int = 6) -> Profiles:
     langs = tuple(sorted(k for k, v in counts.items() if v.sum() > 0))
     rng = np.random.default_rng(seed)
     letters = rng.choice(np.array([-1, 1], dtype=np.int8), size=(SIZE, DIMENSIONS))
+    letters = letters.astype(np.float32)
     first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
-    weight = np.stack([counts[k] / counts[k].sum() for k in langs], axis=1).astype(np.float32) if langs else np.zeros((CELLS, 0), np.float32)
-
-    def block(a: int) -> np.ndarray:
-        pair = first[a][None, :] * second
-        return (pair[:, None, :] * letters[None, :, :]).reshape(SIZE * SIZE, DIMENSIONS).astype(np.float32)
-
+    weight = np.stack([counts[k] / counts[k].sum() for k in langs]).astype(np.float32).reshape(len(langs), SIZE, SIZE, SIZE) if langs else np.zeros((0, SIZE, SIZE, SIZE), np.float32)
+    # sums and products over trigrams, taken apart by their letters, so that no trigram's vector is ever formed
     proto = np.zeros((len(langs), DIMENSIONS), dtype=np.float32)
-    for a in range(SIZE):
-        proto += weight[a * SIZE * SIZE : (a + 1) * SIZE * SIZE].T @ block(a)
+    for k in range(len(langs)):
+        for a in range(SIZE):
+            proto[k] += first[a] * (second * (weight[k, a] @ letters)).sum(axis=0)
     if len(langs) > 1:
         proto -= proto.mean(axis=0)
     proto /= np.maximum(np.linalg.norm(proto, axis=1, keepdims=True), 1e-9)
-    table = np.concatenate([block(a) @ proto.T for a in range(SIZE)]) if langs else np.zeros((CELLS, 0), np.float32)
-    return Profiles(langs, table.astype(np.float32))
+    table = np.zeros((SIZE, SIZE, SIZE, len(langs)), dtype=np.float32)
+    for k in range(len(langs)):
+        for a in range(SIZE):
+            table[a, :, :, k] = (second * (first[a] * proto[k])) @ letters.T
+    return Profiles(langs, table.reshape(CELLS, len(langs)))
