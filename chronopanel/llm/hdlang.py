@@ -74,7 +74,7 @@ class Profiles(NamedTuple):
             return out, square
         at, of = (code[mid - 1] * SIZE + code[mid]) * SIZE + code[mid + 1], of[mid]
         first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-        out[of[first]] = np.add.reduceat(self.table[at], first, axis=0)
+        out[of[first]] = np.add.reduceat(self.table.take(at, axis=0), first, axis=0)
         if norms:
             key = np.sort(of.astype(np.int64) * CELLS + at)
             start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))

@@ -27,7 +27,7 @@ KEY_SCHEMA = "firm_id string, relative_timepoint string, original_archived_url s
 ID = ["a", "b", "u"]
 _NEEDED = [*KEY, "registrable_domain", "document_title", "h1_text", "extracted_text"]
 #: Characters of text that are looked at together in a worker.
-CHUNK = 2_000_000
+CHUNK = 300_000
 
 
 def tidy_line(line: Column) -> Column:
@@ -81,7 +81,7 @@ def line_sums(texts: list[str], words: list[int], common: list[int]) -> np.ndarr
     code = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass") + b"\n\0\0\0", dtype=np.uint32)
     kind = _KIND[code]
     begin = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))[:-1]
-    count = lambda x: np.add.reduceat(x.astype(np.int64), begin)
+    count = lambda x: np.add.reduceat(x.view(np.int8), begin, dtype=np.int64)
     gap = np.flatnonzero(kind == 2)
     size = np.diff(gap, prepend=-1) - 1
     squares = np.bincount(np.searchsorted(begin, gap, side="right") - 1, weights=size.astype(float) ** 2, minlength=len(texts))
